@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from marquetry.llm import copies
+from marquetry.llm import near_duplicates as near
 from marquetry.llm import records as rec
 from marquetry.llm import shared_spans as spans
 
@@ -17,3 +21,19 @@ def p1_found(spark, d):
 def p1_shared_part(spark, d):
     df, n = _records(spark, d)
     return spans.shared_part(spans.shared_spans(df, n), df)
+
+
+def p4_found(spark, d):
+    return copies.same_text_pairs(rec.records(spark, d))
+
+
+def p4_copies(spark, d):
+    return copies.collapsed(rec.records(spark, d))
+
+
+def _code_records(spark, d):
+    return rec.records(spark, d).filter(F.col("kind") != rec.TEXT_KIND), rec.row_count(spark, d, "analyses", "uploaded_files")
+
+
+def p6_found(spark, d):
+    return near.near_pairs(*_code_records(spark, d))
