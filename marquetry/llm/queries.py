@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marquetry.functions.text import trimmed
 from marquetry.llm import copies
 from marquetry.llm import near_duplicates as near
 from marquetry.llm import records as rec
 from marquetry.llm import shared_spans as spans
+from marquetry.llm import syntax
 
 
 def _records(spark, d):
@@ -23,6 +25,21 @@ def p1_shared_part(spark, d):
     return spans.shared_part(spans.shared_spans(df, n), df)
 
 
+def _sources(spark, d):
+    a = spark.read.parquet(f"{d}/analyses.parquet").select("id", F.col("user_id").alias("owner"), F.col("language").alias("declared"), F.col("code").alias("text"))
+    u = spark.read.parquet(f"{d}/uploaded_files.parquet").select("id", F.col("user_id").alias("owner"), F.col("file_type").alias("declared"), F.col("content").alias("text"))
+    return a.unionByName(u)
+
+
+def p3_found(spark, d):
+    return syntax.verdicts(_sources(spark, d)).filter(~F.col("valid")).select("record_id")
+
+
+def p3_rates(spark, d):
+    v = syntax.verdicts(_sources(spark, d)).withColumn("owner", F.nullif(F.lower(trimmed(F.col("owner"))), F.lit("")))
+    return syntax.rates(v)
+
+
 def p4_found(spark, d):
     return copies.same_text_pairs(rec.records(spark, d))
 
