@@ -9,7 +9,7 @@ from marquetry.llm import copies
 from marquetry.llm import near_duplicates as near
 from marquetry.llm import records as rec
 from marquetry.llm import shared_spans as spans
-from marquetry.llm import syntax
+from marquetry.llm import syntax, tokenize
 
 
 def _records(spark, d):
@@ -54,3 +54,7 @@ def _code_records(spark, d):
 
 def p6_found(spark, d):
     return near.near_pairs(*_code_records(spark, d))
+
+
+def p8_ids(spark, d):
+    return tokenize.encoded(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), ["doc_id"], "text")
