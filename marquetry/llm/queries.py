@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marquetry.functions.text import trimmed
-from marquetry.llm import copies
+from marquetry.llm import copies, mixing
 from marquetry.llm import near_duplicates as near
 from marquetry.llm import records as rec
 from marquetry.llm import shared_spans as spans
@@ -58,3 +58,15 @@ def p6_found(spark, d):
 
 def p8_ids(spark, d):
     return tokenize.encoded(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), ["doc_id"], "text")
+
+
+def _mix(spark, d):
+    return mixing.Mix(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "source"), spark.read.parquet(f"{d}/mix_targets.parquet"))
+
+
+def p9_mix(spark, d):
+    return _mix(spark, d).chosen()
+
+
+def p9_shares(spark, d):
+    return _mix(spark, d).shares()
