@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # White space as the browser's trim understands it, and the line ends of the server's line split.
-BLANKS = r"\t\n\x0B\f\r    -     　﻿"
-LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\u0085  ]"
+BLANKS = "\\t\\n\\x0B\\f\\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+LINE_END = "\\r\\n|[\\n\\r\\x0B\\f\\x1C-\\x1E\u0085\u2028\u2029]"
 SOURCE_SUFFIX = r"(?i)\.(py|java|txt)$"
 
 

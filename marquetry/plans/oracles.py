@@ -6,7 +6,7 @@ from marquetry.functions.text import BLANKS, LINE_END
 from marquetry.operators.metrics import CALL, KEYWORDS, NUMBER, RESERVED
 from marquetry.plans.queries import EVENTS_NOW, NOW
 
-END = LINE_END.replace(r"\u0085", r"\x{0085}")
+END = LINE_END
 
 
 def trim(x: str) -> str:
