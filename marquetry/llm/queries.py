@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marquetry.functions.text import trimmed
-from marquetry.llm import copies, mixing
+from marquetry.llm import copies, mixing, quality
 from marquetry.llm import near_duplicates as near
 from marquetry.llm import records as rec
 from marquetry.llm import shared_spans as spans
@@ -70,3 +70,16 @@ def p9_mix(spark, d):
 
 def p9_shares(spark, d):
     return _mix(spark, d).shares()
+
+
+def _quality(spark, d):
+    t = lambda n: spark.read.parquet(f"{d}/{n}.parquet")
+    return quality.judged(t("documents").select("doc_id", "text"), t("common_words"), t("doc_labels"))
+
+
+def p10_found(spark, d):
+    return _quality(spark, d).filter(F.col("class").isin("list", "table", "junk")).select("doc_id")
+
+
+def p10_stats(spark, d):
+    return quality.as_columns(_quality(spark, d))

@@ -27,7 +27,7 @@ except ImportError:  # pragma: no cover
 
 def python_parses(text: str) -> bool:
     """Is the text a syntactically valid module for the running Python? A leading byte order mark is allowed."""
-    text = text.removeprefix("﻿")
+    text = text.removeprefix("\ufeff")
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         if _quick is not None:
