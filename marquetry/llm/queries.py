@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marquetry.functions.text import trimmed
-from marquetry.llm import copies, mixing, quality
+from marquetry.llm import copies, mixing, names, quality
 from marquetry.llm import near_duplicates as near
 from marquetry.llm import records as rec
 from marquetry.llm import shared_spans as spans
@@ -83,3 +83,16 @@ def p10_found(spark, d):
 
 def p10_stats(spark, d):
     return quality.as_columns(_quality(spark, d))
+
+
+def _entries(spark, d):
+    s = spark.read.parquet(f"{d}/students.parquet").select("id", "name", "email")
+    return s.unionByName(spark.read.parquet(f"{d}/users.parquet").select("id", F.col("full_name").alias("name"), "email")), spark.read.parquet(f"{d}/nicknames.parquet")
+
+
+def p7_found(spark, d):
+    return names.variant_pairs(*_entries(spark, d))
+
+
+def p7_people(spark, d):
+    return names.people(*_entries(spark, d)).select("id", "family", "person")
