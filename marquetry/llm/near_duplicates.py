@@ -249,10 +249,10 @@ class SetJoin:
         index = cut(texts.groupBy("pack").cogroup(priced.groupBy("pack")).applyInArrow(_index(buckets, threshold), _OUT))
         self.members = index.filter("kind = 0").select("id", "g", "size", F.col("payload").alias("sequence"))
         self.sets = index.filter("kind = 1").select("g", "payload").dropDuplicates(["g"])
-        met = index.filter("kind = 2").repartitionById(buckets, F.col("bucket")).select("payload").mapInArrow(_meet(threshold), "g_a bigint, g_b bigint").distinct()
+        self.met = index.filter("kind = 2").repartitionById(buckets, F.col("bucket")).select("payload").mapInArrow(_meet(threshold), "g_a bigint, g_b bigint").distinct()
         a = self.sets.select(F.col("g").alias("g_a"), F.col("payload").alias("set_a"))
         b = self.sets.select(F.col("g").alias("g_b"), F.col("payload").alias("set_b"))
-        self.links = met.join(a, "g_a").join(b, "g_b").select("g_a", "g_b", "set_a", "set_b").mapInArrow(_verify(threshold), "g_a bigint, g_b bigint, similarity double")
+        self.links = self.met.join(a, "g_a").join(b, "g_b").select("g_a", "g_b", "set_a", "set_b").mapInArrow(_verify(threshold), "g_a bigint, g_b bigint, similarity double")
 
 
 def near_pairs(df: DataFrame, rows: int, threshold: float = THRESHOLD) -> DataFrame:

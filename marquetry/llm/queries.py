@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marquetry.functions.text import trimmed
-from marquetry.llm import copies, mixing, names, quality
+from marquetry.llm import copies, history, mixing, names, quality
 from marquetry.llm import near_duplicates as near
 from marquetry.llm import records as rec
 from marquetry.llm import shared_spans as spans
@@ -96,3 +96,7 @@ def p7_found(spark, d):
 
 def p7_people(spark, d):
     return names.people(*_entries(spark, d)).select("id", "family", "person")
+
+
+def p5_found(spark, d):
+    return history.seen_before(rec.records(spark, d, uploads_only=True), rec.row_count(spark, d, "uploaded_files"))
