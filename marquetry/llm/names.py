@@ -19,7 +19,6 @@ import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,7 +64,9 @@ def codes(token: str) -> list[str]:
 
 def edits(a: str, b: str, most: int = 3) -> int:
     """Edit distance with transpositions of neighbours; most + 1 stands for more."""
-    if abs(len(a) - len(b)) > most:
+    if a == b:
+        return 0
+    if abs(len(a) - len(b)) > most or len(set(a) ^ set(b)) > 2 * most:  # an edit changes at most two of the letters that occur
         return most + 1
     before, row = [], list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -203,8 +204,8 @@ def _close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64())], names=["a", "b", "s"])
 
 
-@F.udf(T.ArrayType(T.StringType()))
-def _code_list(token: str) -> list[str]:
+@F.udf(T.ArrayType(T.StringType()), useArrow=True)
+def _code_list(token):
     return codes(token)
 
 
@@ -231,47 +232,69 @@ def families(spellings: DataFrame) -> DataFrame:
     return typed.join(comp, F.col("typed") == F.col("node"), "left").select("typed", F.coalesce("known", "component").alias("family"))
 
 
-def _given_names(nick: dict[str, str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+_FORM = ["family", "given", "initials", "address_given"]
+
+
+def _named(rows: list[dict], nick: dict[str, str], full: set[str], near: Callable, near_full: Callable, near_nick: Callable) -> None:
+    """Sets `person` of a family's rows (given, initials, address_given, n; each combination once); None: nobody fits alone."""
+    # 1. given names that are certain: by table, or said by the address beside a fitting name
+    certain: set[str] = set()
+    for r in rows:
+        g, a = r["given"], r["address_given"]
+        r["person"] = None
+        if a and len(a) > 1 and ((g and (edits(g, a, 2) <= 2 or nick.get(g) == a or near_nick(g) == a)) or (not g and r["initials"][:1] == a[0])):
+            r["person"] = a
+        elif g:
+            r["person"] = nick.get(g)
+        if r["person"]:
+            certain.add(r["person"])
+    # 2. typed otherwise: close to one that is certain here, then to the table, else a name of its own (most used first)
+    for r in sorted((r for r in rows if r["given"] and not r["person"]), key=lambda r: (-r["n"], r["given"])):
+        g = r["given"]
+        short = near(g, [k for k, v in nick.items() if v in certain])
+        r["person"] = near(g, certain) or (nick[short] if short else None) or near_full(g) or near_nick(g) or g
+        certain.add(r["person"])
+    # 3. initials: the one person of the family they fit
+    for r in rows:
+        if not r["person"]:
+            i = r["initials"][:1]
+            fit = sorted(p for p in certain if p[0] == i)
+            if len(fit) > 1 and len(r["initials"]) > 1:
+                by = {o["person"] for o in rows if o["person"] in fit and o["given"] and o["initials"][:1] == r["initials"][1:2]}
+                fit = sorted(by) if len(by) == 1 else fit
+            if len(fit) == 1:
+                r["person"] = fit[0]
+            elif i and not fit:
+                r["person"] = f"{i}."
+            elif not i and len(certain) <= 1:
+                r["person"] = next(iter(certain), ".")
+
+
+def _given_names(nick: dict[str, str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     full = set(nick.values())
 
     def near(t: str, options) -> str | None:
-        s = [(jaro_winkler(t, o), o) for o in options if abs(len(t) - len(o)) <= 2 and edits(t, o, 2) <= (1 if min(len(t), len(o)) < 6 else 2)]
+        s = [(jaro_winkler(t, o), o) for o in options if edits(t, o, 2) <= (1 if min(len(t), len(o)) < 6 else 2)]
         s = [x for x in s if x[0] >= GIVEN_CLOSE]
         return max(s)[1] if s else None
 
-    def run(forms: pd.DataFrame) -> pd.DataFrame:
-        """forms: family, given, initials, address_given, each combination once. Adds person (null: nobody fits alone)."""
-        rows = forms.to_dict("records")
-        # 1. given names that are certain: by table, or said by the address beside a fitting name
-        certain: set[str] = set()
-        for r in rows:
-            g, a = r["given"], r["address_given"]
-            r["person"] = None
-            if a and len(a) > 1 and ((g and (edits(g, a, 2) <= 2 or nick.get(g) == a or near(g, [k for k, v in nick.items() if v == a]))) or (not g and r["initials"][:1] == a[0])):
-                r["person"] = a
-            elif g and g in full:
-                r["person"] = g
-            elif g and g in nick:
-                r["person"] = nick[g]
-            if r["person"]:
-                certain.add(r["person"])
-        # 2. typed otherwise: close to one that is certain here, then to the table, else a name of its own (most used first)
-        for r in sorted((r for r in rows if r["given"] and not r["person"]), key=lambda r: (-r["n"], r["given"])):
-            g = r["given"]
-            shorts = near(g, [k for k, v in nick.items() if v in certain])
-            r["person"] = near(g, certain) or (nick[shorts] if shorts else None) or near(g, full) or (lambda s: nick[s] if s else None)(near(g, nick)) or g
-            certain.add(r["person"])
-        # 3. initials: the one person of the family they fit
-        for r in rows:
-            if not r["person"]:
-                i = r["initials"][:1]
-                fit = sorted(p for p in certain if i and p[0] == i)
-                if len(fit) > 1 and len(r["initials"]) > 1:
-                    middle = r["initials"][1:2]
-                    by = {o["person"] for o in rows if o["person"] in fit and o["given"] and o["initials"][:1] == middle}
-                    fit = sorted(by) if len(by) == 1 else fit
-                r["person"] = fit[0] if len(fit) == 1 else (f"{i}." if i and not fit else (None if i else (next(iter(certain)) if len(certain) == 1 else (None if certain else "."))))
-        return pd.DataFrame(rows, columns=[*forms.columns, "person"]).drop(columns=["n"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near_full = lru_cache(100_000)(lambda t: near(t, full))
+        near_nick = lru_cache(100_000)(lambda t: nick.get(near(t, nick)))
+
+        def done(rows: list[dict]) -> pa.RecordBatch:
+            _named(rows, nick, full, near, near_full, near_nick)
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.string()) for c in [*_FORM, "person"]], names=[*_FORM, "person"])
+
+        held: list[dict] = []  # a family may go on in the next batch
+        for b in batches:
+            for r in b.to_pylist():
+                if held and r["family"] != held[-1]["family"]:
+                    yield done(held)
+                    held = []
+                held.append(r)
+        if held:
+            yield done(held)
 
     return run
 
@@ -283,7 +306,7 @@ def people(entries: DataFrame, nicknames: DataFrame) -> DataFrame:
     short_form) is a small fixed table. Extra columns are ignored.
     """
     nick = {plain(r.short_form).strip(): plain(r.given_name).strip() for r in nicknames.select("given_name", "short_form").na.drop().orderBy("short_form", "given_name").collect()}
-    nick |= {g: g for g in nick.values()}
+    nick = {g: g for g in nick.values()} | nick
     e = entries.select("id", "name", "email").filter(F.col("id").isNotNull() & F.col("name").rlike(r"\S")).dropDuplicates(["id"])
     parsed = cut(e.mapInArrow(_parse, _PARSED))
     # how many different partners a token has: given names have many, family names few
@@ -295,7 +318,9 @@ def people(entries: DataFrame, nicknames: DataFrame) -> DataFrame:
     fam = families(roles.select("typed", "confirmed"))
     known = cut(roles.join(fam, "typed").select("id", "name", F.coalesce("confirmed", "family").alias("family"), "given", "initials", "address_given"))
     shapes = known.groupBy("family", "given", "initials", "address_given").agg(F.count("*").alias("n"))
-    named = shapes.groupBy("family").applyInPandas(_given_names(nick), "family string, given string, initials string, address_given string, person string")
+    # sorted by family and streamed: a family's distinct forms are together, and the number of tasks is fixed, not by bytes
+    parts = 4 * int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = shapes.repartition(parts, "family").sortWithinPartitions("family").mapInArrow(_given_names(nick), "family string, given string, initials string, address_given string, person string")
     same = lambda c: F.col(f"k.{c}").eqNullSafe(F.col(f"p.{c}"))
     return known.alias("k").join(named.alias("p"), (F.col("k.family") == F.col("p.family")) & same("given") & same("initials") & same("address_given")).select("k.id", "k.name", "k.family", "p.person")
 
