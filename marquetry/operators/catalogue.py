@@ -63,3 +63,26 @@ def contacts(*parts: tuple[DataFrame, str, str]) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f)
     return out
+
+
+def by_key(df: DataFrame, value, key: str = "id", **owner) -> DataFrame:
+    """The row of a key, if its owner columns have the given values too; none otherwise. The conditions reach the scan."""
+    test = F.col(key) == F.lit(value)
+    for c, v in owner.items():
+        test = test & (F.col(c) == F.lit(v))
+    return df.filter(test).limit(1)
+
+
+def taken_by_others(df: DataFrame, column: str, value, key: str, me) -> DataFrame:
+    """Rows other than `me` that hold the value (the check before an update of a unique column)."""
+    return df.filter((F.col(column) == F.lit(value)) & (F.col(key) != F.lit(me)))
+
+
+def grouped_rows(df: DataFrame, by: str, columns: list[str], name: str = "rows", default: str = "Unassigned") -> DataFrame:
+    """Rows of each group as a sorted array; null and empty groups together under the default."""
+    return df.groupBy(X.falsy_to(F.col(by), default).alias(by)).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
+
+
+def complete(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows where none of the columns is null."""
+    return df.na.drop(subset=list(columns))

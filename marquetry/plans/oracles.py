@@ -66,6 +66,13 @@ def _comments(mark: str) -> str:
     return f"len(regexp_extract_all(t, '(?m)^[{BLANKS}]*{mark}'))"
 
 
+def normalised(x: str) -> str:
+    words = "|".join(sorted(set(RESERVED["python"]) | set(RESERVED["java"])))
+    for a, b in ((r"\"[^\"]*\"|''[^'']*''", "§"), (rf"\b({words})\b", r"¤\1"), (r"(^|[^\w¤])[A-Za-z_]\w*", r"\1N"), (r"(^|\W)\d[\w.]*", r"\g0"), (r"\s+", "")):
+        x = f"regexp_replace({x}, '{a}', '{b}', 'g')" if b != r"\g0" else f"regexp_replace({x}, '{a}', '\\10', 'g')"
+    return f"replace(replace({x}, '¤', ''), '§', 'S')"
+
+
 _BASE = "string_split(coalesce(name, ''), '/')[-1]"
 _STEM = f"translate(regexp_replace({_BASE}, '(?i)\\.(py|java|txt)$', ''), '_-', '  ')"
 
@@ -140,6 +147,20 @@ ORACLES: dict[str, str] = {
     "q33_text_labels": f"""select id, {_BASE} as base, {_STEM} as stem, lower(string_split(coalesce(name, ''), '.')[-1]) as ext, upper(substring({_BASE}, 1, 1)) || substring({_BASE}, 2) as title,
       regexp_replace({_STEM}, '[{BLANKS}]', '', 'g') as tight, url_encode(coalesce(name, '')) as url from {once('uploaded_files', '*')}""",
     "q34_first_lookup": f"select s.id, coalesce(u.username, 'none') as username from {once('students', '*')} s left join (select email, arg_min(username, id) as username from {once('users', '*')} where email is not null group by 1) u on u.email = s.email",
+    "q35_owned_row": "select o_orderkey, o_custkey, o_totalprice, o_orderstatus from orders where o_orderkey = 7 and o_orderstatus = 'F' union all select o_orderkey, o_custkey, o_totalprice, o_orderstatus from orders where o_custkey = 7 and o_orderkey <> 7",
+    "q36_grouped_rows": "select coalesce(nullif(c_mktsegment, ''), 'Unassigned') as c_mktsegment, string_agg(cast(c_custkey as varchar), ',' order by c_custkey) as members from customer where c_acctbal > 9500 group by 1",
+    "q37_batch_flags": f"""select id, case when clone_percentage > 50 then 'high' else 'medium' end as severity, 'warning' as status, case when clone_percentage > 70 then 'red' when clone_percentage > 40 then 'orange' else 'green' end as badge from {once('analyses', '*')} where clone_percentage > 30""",
+    "q38_complete_rows": f"select id from {once('students', '*')} where section_id is not null and submissions is not null and created_at is not null",
+    "q39_users_search": f"select id from {once('users', '*')} where contains(lower(coalesce(username, '')), 'mar') or contains(lower(coalesce(email, '')), 'mar') or contains(lower(coalesce(full_name, '')), 'mar')",
+    "q40_section_by_id_or_name": f"""with s as {once('sections', 'id, name')}, k as (select name as k from s union select id from s), m as (select k, s.id, s.name, row_number() over (partition by k order by s.id) as rn from k left join s on s.id = k or s.name = k)
+      select k, id as matched_id, name as matched_name from m where rn = 1""",
+    "q41_renamed_clones": f"""with p as (select id, unnest(string_split(coalesce(code, ''), chr(10))) as line from {once('analyses', '*')}), t as (select id, {trim('line')} as l from p), u as (select * from t where length(l) > 10),
+      n as (select id, l, {normalised('l')} as m from u), c as (select id, count(*) - count(distinct m) as clone_lines, count(*) - count(distinct l) as exact_lines from n group by id)
+      select a.id, cast(coalesce(clone_lines, 0) as bigint) as clone_lines, cast(coalesce(exact_lines, 0) as bigint) as exact_lines from {once('analyses', 'id')} a left join c on c.id = a.id""",
+    "q42_metric_changes": f"""with a as (select id, created_at, clone_percentage as v, {key('user_id')} as k from {once('analyses', '*')}), w as (select id, v, lag(v) over (partition by k order by created_at, id) as previous from a where k is not null and created_at is not null)
+      select id, previous, round(v - previous, 4) as change from w""",
+    "q43_top_suggestions": f"""with {CODE}, s as (select id, 'Extract Method' as refactoring_type, duplicate_lines from m where clone_percentage > 10 union all select id, 'Simplify Conditionals', duplicate_lines from m where cyclomatic_complexity > 10),
+      r as (select id, refactoring_type, rank() over (partition by refactoring_type order by duplicate_lines desc) as impact_rank from s) select * from r where impact_rank <= 20""",
     "p2_found": f"with {P2} select distinct table_name, record_id from states where state <> 'ok'",
     "p2_orphans_by_period": f"""with {P2}, c as (select table_name, strftime(created_at, '%Y-%m') as period, count(*) as refs, count(*) filter (where state = 'missing') as missing, count(*) filter (where state = 'deleted') as deleted, count(*) filter (where state = 'late') as late from states group by all)
       select *, missing + deleted + late as orphans, round((missing + deleted + late) * 100.0 / refs, 2) as orphan_percent from c""",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marquetry.functions import labels as L
 from marquetry.functions import text as X
-from marquetry.operators import activity, catalogue, clones, dml, matching, metrics, references, similarity, validate
+from marquetry.operators import activity, catalogue, clones, dml, extensions, matching, metrics, references, similarity, validate
 from marquetry.sources.tables import one_per_id, table
 
 #: "Now" of the time-dependent queries.
@@ -241,6 +241,51 @@ def q34_first_lookup(spark, d):
     return matching.first_lookup(st, us, "email", "id").select("id", F.coalesce("m_username", F.lit("none")).alias("username"))
 
 
+def q35_owned_row(spark, d):
+    return catalogue.by_key(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"), 7, "o_orderkey", o_orderstatus="F").unionByName(
+        catalogue.taken_by_others(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"), "o_custkey", 7, "o_orderkey", 7)
+    )
+
+
+def q36_grouped_rows(spark, d):
+    c = table(spark, d, "customer").filter("c_acctbal > 9500").select("c_mktsegment", "c_custkey")
+    return catalogue.grouped_rows(c, "c_mktsegment", ["c_custkey"]).select("c_mktsegment", F.array_join(F.transform("rows", lambda r: r["c_custkey"].cast("string")), ",").alias("members"))
+
+
+def q37_batch_flags(spark, d):
+    a = one_per_id(table(spark, d, "analyses").select("id", "clone_percentage"))
+    flags = a.withColumn("severity", L.batch_flag(F.col("clone_percentage"))).filter("severity is not null")
+    return flags.select("id", "severity", L.klass(F.col("clone_percentage"), "history").alias("status"), L.klass(F.col("clone_percentage"), "badge").alias("badge"))
+
+
+def q38_complete_rows(spark, d):
+    return catalogue.complete(one_per_id(table(spark, d, "students").select("id", "section_id", "submissions", "created_at")), "section_id", "submissions", "created_at").select("id")
+
+
+def q39_users_search(spark, d):
+    return catalogue.search(one_per_id(table(spark, d, "users").select("id", "username", "email", "full_name")), "Mar", ["username", "email", "full_name"]).select("id")
+
+
+def q40_section_by_id_or_name(spark, d):
+    sec = one_per_id(table(spark, d, "sections").select("id", "name"))
+    left = sec.select(F.col("name").alias("k")).unionByName(sec.select(F.col("id").alias("k"))).distinct()
+    return matching.lookup_by_id_or_name(left, "k", sec.withColumn("pos", F.col("id")), "pos").select("k", "matched_id", "matched_name")
+
+
+def q41_renamed_clones(spark, d):
+    return extensions.renamed_clones(_code(spark, d), "id", "code")
+
+
+def q42_metric_changes(spark, d):
+    a = one_per_id(table(spark, d, "analyses").select("id", "user_id", "created_at", "clone_percentage")).withColumn("user_key", references.normal_key(F.col("user_id"))).filter("user_key is not null and created_at is not null")
+    return extensions.changes(a, "user_key", ["created_at", "id"], "clone_percentage").select("id", "previous", "change")
+
+
+def q43_top_suggestions(spark, d):
+    s = metrics.suggestions(metrics.document_metrics(_code(spark, d), "code", F.col("language")))
+    return extensions.ranked_by_impact(s, "duplicate_lines", 20).select("id", "refactoring_type", F.col("impact_rank").cast("bigint").alias("impact_rank"))
+
+
 def p2_states(spark: SparkSession, d: str) -> DataFrame:
     """State of every reference of analyses, students and sections (see references.reference_states)."""
     t = lambda n: table(spark, d, n)
