@@ -35,7 +35,7 @@ _I = np.int64
 
 
 class _Pack:
-    """Triples of a pack's records: owner, hash, bucket order and the pack's distinct hashes with their counts."""
+    """Triples of a pack's records: owner, hash, and the pack's distinct hashes with their counts."""
 
     def __init__(self, table: pa.Table, buckets: int) -> None:
         rows = {i: t for i, t in zip(table.column("id").to_pylist(), table.column("text").to_pylist()) if t is not None and t.strip()}
@@ -48,10 +48,8 @@ class _Pack:
             docs.append(d + a), hashes.append(h), self.sequence.extend(w.sequence_digests())
         self.doc, self.hash = np.concatenate(docs), np.concatenate(hashes)
         values, self.at, self.count = np.unique(self.hash, return_inverse=True, return_counts=True)
-        self.order = np.argsort(_bucket(values, buckets), kind="stable")
-        self.values = values[self.order]
-        self.n = self.count[self.order]
-        self.ends = np.searchsorted(_bucket(self.values, buckets), np.arange(buckets + 1))
+        self.values = values
+        self.parts = dict(_split(values, buckets))  # bucket -> positions among the distinct hashes, in order of hash
         self.sizes = np.bincount(self.doc, minlength=len(self.ids))
 
 
@@ -63,11 +61,7 @@ def _short(h: np.ndarray) -> np.ndarray:
 def _send(buckets: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         p = _Pack(table, buckets)
-        out = []
-        for b in range(buckets):
-            a, z = p.ends[b], p.ends[b + 1]
-            if a < z:
-                out.append((b, _short(p.values[a:z]).tobytes() + np.minimum(p.n[a:z], 255).astype(np.uint8).tobytes()))
+        out = [(b, _short(p.values[x]).tobytes() + np.minimum(p.count[x], 255).astype(np.uint8).tobytes()) for b, x in p.parts.items()]
         pack = table.column("pack")[0].as_py()
         return pa.table({"bucket": pa.array([b for b, _ in out], pa.int32()), "pack": pa.array([pack] * len(out), pa.int32()), "payload": pa.array([x for _, x in out], pa.binary())})
 
@@ -118,10 +112,8 @@ def _index(buckets: int, threshold: float) -> Callable[[tuple, pa.Table, pa.Tabl
             p = _Pack(table, buckets)
             cost = np.ones(len(p.values), np.uint8)
             for b, x in zip(prices.column("bucket").to_pylist(), prices.column("payload").to_pylist()):
-                cost[p.ends[b] : p.ends[b + 1]] = np.frombuffer(x, np.uint8)
-            by_value = np.empty_like(cost)
-            by_value[p.order] = cost
-            cost = by_value[p.at]
+                cost[p.parts[b]] = np.frombuffer(x, np.uint8)
+            cost = cost[p.at]
             g = set_digest(p.doc, p.hash, len(p.ids)) if len(p.ids) else np.zeros(0, U)
             least = np.ceil(threshold * p.sizes - 1e-9).astype(_I)
             allowance = p.sizes - least + 1

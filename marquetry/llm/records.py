@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from marquetry.functions.text import trimmed
 
 PACK_ROWS = 1000
+PACKS_PER_TASK = 16
 TEXT_KIND = "text"
 
 
@@ -35,6 +36,6 @@ def packed(df: DataFrame, rows: int, per_pack: int = PACK_ROWS) -> tuple[DataFra
     """df with the column `pack`, exchanged once by pack; the number of packs and of partitions."""
     spark = df.sparkSession
     packs = max(1, -(-rows // per_pack))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-packs // 8))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-packs // PACKS_PER_TASK))
     packs = max(packs, parts)
     return df.withColumn("pack", F.pmod(F.xxhash64("id"), F.lit(packs)).cast("int")).repartition(parts, "pack"), packs, parts

@@ -74,13 +74,13 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _split(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Positions of each bucket's entries."""
+    """Positions of the entries of each bucket that has any."""
     b = _bucket(keys, buckets)
     order = np.argsort(b, kind="stable")
-    ends = np.searchsorted(b[order], np.arange(buckets + 1))
-    for i in range(buckets):
-        if ends[i] < ends[i + 1]:
-            yield i, order[ends[i] : ends[i + 1]]
+    b = b[order]
+    start = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, _I)
+    for a, z in zip(start, [*start[1:], len(b)]):
+        yield int(b[a]), order[a:z]
 
 
 def _once(table: pa.Table) -> tuple[list[str], list[str], np.ndarray]:
