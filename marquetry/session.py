@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +43,25 @@ def cut(df: DataFrame) -> DataFrame:
 def partitions_for(spark: SparkSession, rows: int, rows_per_partition: int) -> int:
     """Partitions so that each holds about rows_per_partition rows, never fewer than the session's own number."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_per_partition))
+
+
+def ship_package(spark: SparkSession) -> bool:
+    """Makes this package importable in Python workers that cannot see it; True if it had to be sent.
+
+    Nothing is done where PYTHONPATH names its folder, or locally when that folder is the current one. Otherwise the sources go
+    to the executors through Spark's own file server, once per context.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    sc = spark.sparkContext
+    seen = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root in seen or (sc.master.startswith("local[") and os.getcwd() == root) or getattr(sc, "_marquetry_sent", False):
+        return False
+    made = os.path.join(tempfile.mkdtemp(prefix="marquetry-"), "marquetry.zip")
+    with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(os.path.join(root, "marquetry")):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), root))
+    sc.addPyFile(made)
+    sc._marquetry_sent = True
+    return True
