@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marquetry.llm.components import components
 from marquetry.llm.copies import group_pairs
 from marquetry.session import cut
 
@@ -78,7 +79,7 @@ def edits(a: str, b: str, most: int = 3) -> int:
             row.append(d)
         if min(row) > most:
             return most + 1
-    return row[-1]
+    return min(row[-1], most + 1)
 
 
 def jaro_winkler(a: str, b: str) -> float:
@@ -121,8 +122,8 @@ def _from_address(email: str, tokens: list[str], initials: str) -> tuple[str | N
                 return family, given
         return None, None
     first = {t[0] for t in [*tokens, *initials]}
-    found = [(d - 0.5 * (cut_off and parts[0][0] in first - {t[0]}), f) for f, cut_off in ((parts[0], False), (parts[0][1:], True)) for d, t in fits(f)]
-    return (min(found)[1], None) if found else (None, None)
+    found = [(d - 0.5 * (cut_off and parts[0][0] in first - {t[0]}), cut_off, f) for f, cut_off in ((parts[0], False), (parts[0][1:], True)) for d, t in fits(f)]
+    return (min(found)[2], None) if found else (None, None)
 
 
 _PARSED = "id string, name string, first string, last string, comma boolean, initials string, family string, given string"
@@ -180,24 +181,6 @@ def _roles(nick: dict[str, str]) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     return run
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """node, component (the least node it is connected with). nodes: node; edges: a, b. Labels spread along the edges and jump
-    to their label's label; every round is cut to the shared folder. Stops when nothing changes; raises if `rounds` don't do."""
-    e = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(nodes.select("node", F.col("node").alias("component")).distinct())
-    if e.isEmpty():
-        return labels
-    for _ in range(rounds):
-        near = e.join(labels, e["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("n"))
-        step = labels.join(near, labels["node"] == near["a"], "left").select("node", F.col("component").alias("old"), F.least("component", "n").alias("m"))
-        up = step.select(F.col("node").alias("x"), F.col("m").alias("up"))
-        new = cut(step.join(up, F.col("m") == F.col("x"), "left").select("node", "old", F.least("m", F.coalesce("up", "m")).alias("component")))
-        if new.filter("old <> component").isEmpty():
-            return new.select("node", "component")
-        labels = new.select("node", "component")
-    raise RuntimeError("components did not settle")
-
-
 def _close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = [(x, y, jaro_winkler(x, y)) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if close_family(x, y)]
@@ -274,7 +257,7 @@ def _given_names(nick: dict[str, str]) -> Callable[[Iterator[pa.RecordBatch]], I
     full = set(nick.values())
 
     def near(t: str, options) -> str | None:
-        s = [(jaro_winkler(t, o), o) for o in options if edits(t, o, 2) <= (1 if min(len(t), len(o)) < 6 else 2)]
+        s = [(jaro_winkler(t, o), o) for o in options if edits(t, o, 2) <= (1 if min(len(t), len(o)) < 5 else 2)]
         s = [x for x in s if x[0] >= GIVEN_CLOSE]
         return max(s)[1] if s else None
 

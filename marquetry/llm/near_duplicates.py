@@ -38,7 +38,10 @@ class _Pack:
     """Triples of a pack's records: owner, hash, and the pack's distinct hashes with their counts."""
 
     def __init__(self, table: pa.Table, buckets: int) -> None:
-        rows = {i: t for i, t in zip(table.column("id").to_pylist(), table.column("text").to_pylist()) if t is not None and t.strip()}
+        rows: dict[str, str] = {}
+        for i, t in zip(table.column("id").to_pylist(), table.column("text").to_pylist()):
+            if t is not None and t.strip():
+                rows[i] = max(t, rows.get(i, t))
         self.ids = sorted(rows)
         docs, hashes, self.sequence = [np.zeros(0, _I)], [np.zeros(0, U)], []
         texts = [rows[i] for i in self.ids]
@@ -225,7 +228,7 @@ class SetJoin:
     """The self join of df (id, text): `members` (id, g, size, sequence digest), and `links` (g_a, g_b, similarity) between different sets.
 
     Records that can have no partner are in neither. Null ids and blank texts are ignored, repeated rows of an id are one
-    record, texts of fewer than three words have the empty set and take no part in links. Extra columns are ignored.
+    record (should their texts differ, the greatest counts), texts of fewer than three words have the empty set and take no part in links. Extra columns are ignored.
     The index is cut to the shared folder once, as three results are read from it.
     """
 
@@ -258,3 +261,26 @@ def near_pairs(df: DataFrame, rows: int, threshold: float = THRESHOLD) -> DataFr
     a, b = j.members.select(F.col("g").alias("g_a"), F.col("id").alias("x")), j.members.select(F.col("g").alias("g_b"), F.col("id").alias("y"))
     linked = j.links.select("g_a", "g_b").join(a, "g_a").join(b, "g_b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
     return same.unionByName(linked)
+
+
+def near_groups(df: DataFrame, rows: int, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per record: record_id, group_id (the least id of the records it is connected with), copies (records with the
+    same triples, itself included), links (different sets near its own). Records without partner form a group of their own;
+    texts of fewer than three words are grouped by equal word sequence. Nothing is expanded into pairs of records."""
+    from marquetry.llm.components import components
+    from marquetry.session import cut
+
+    j = SetJoin(df, rows, threshold)
+    links = cut(j.links.select("g_a", "g_b"))
+    ends = links.select(F.col("g_a").alias("g")).unionByName(links.select(F.col("g_b").alias("g")))
+    degree = ends.groupBy("g").agg(F.count("*").alias("links"))
+    linked = components(degree.select(F.col("g").alias("node")), links.toDF("a", "b")).withColumnRenamed("node", "g")
+    m = j.members.join(degree, "g", "left").join(linked, "g", "left")
+    key = F.when(F.col("size") > 0, F.concat(F.lit("g"), F.coalesce("component", "g"))).otherwise(F.concat(F.lit("s"), F.hex("sequence")))
+    own = F.when(F.col("size") > 0, F.concat(F.lit("g"), F.col("g"))).otherwise(F.concat(F.lit("s"), F.hex("sequence")))
+    m = cut(m.select("id", key.alias("key"), own.alias("own"), F.coalesce("links", F.lit(0)).alias("links")))
+    group = m.groupBy("key").agg(F.min("id").alias("group_id"))
+    copies = m.groupBy("own").agg(F.count("*").alias("copies"))
+    found = m.join(group, "key").join(copies, "own").select("id", "group_id", "copies", "links")
+    every = df.select("id").filter(F.col("id").isNotNull() & F.col("text").rlike(r"\S")).distinct()
+    return every.join(found, "id", "left").select(F.col("id").alias("record_id"), F.coalesce("group_id", "id").alias("group_id"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("links", F.lit(0)).alias("links"))

@@ -56,6 +56,10 @@ def p6_found(spark, d):
     return near.near_pairs(*_code_records(spark, d))
 
 
+def p6_groups(spark, d):
+    return near.near_groups(*_code_records(spark, d))
+
+
 def p8_ids(spark, d):
     return tokenize.encoded(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), ["doc_id"], "text")
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from marquetry.functions.text import trimmed
 
 PACK_ROWS = 1000
-PACKS_PER_TASK = 16
+PACKS_PER_TASK = 8
 TEXT_KIND = "text"
 
 

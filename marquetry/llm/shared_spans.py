@@ -85,7 +85,10 @@ def _split(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
 
 def _once(table: pa.Table) -> tuple[list[str], list[str], np.ndarray]:
     """ids, texts and id hashes of a pack's records, repeated rows left out."""
-    rows = {i: t for i, t in zip(table.column("id").to_pylist(), table.column("text").to_pylist()) if t is not None and t.strip()}
+    rows: dict[str, str] = {}
+    for i, t in zip(table.column("id").to_pylist(), table.column("text").to_pylist()):
+        if t is not None and t.strip():
+            rows[i] = max(t, rows.get(i, t))
     ids = sorted(rows)
     return ids, [rows[i] for i in ids], id_hash(ids)
 
@@ -328,7 +331,7 @@ def shared_spans(df: DataFrame, rows: int, length: int = LENGTH, gram: int = GRA
     """Maximal stretches of characters in runs of `length` or more that stand verbatim in another record.
 
     df: id, text; rows: about its number of rows (for sizing only). Result: record_id, span_start (from 0), span_chars, in code
-    points. Rows of equal id are one record, null ids and blank texts are ignored, texts shorter than `length` match nothing;
+    points. Rows of equal id are one record (should their texts differ, the greatest counts), null ids and blank texts are ignored, texts shorter than `length` match nothing;
     what repeats only inside a record is no case; an empty table gives no rows. Extra columns are ignored.
     """
     if not 0 < gram <= length:

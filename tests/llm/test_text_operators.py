@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from marquetry.llm import mixing, names, quality, syntax, tokenize
+from marquetry.llm import components, mixing, names, quality, syntax, tokenize
 from marquetry.llm.java_grammar import java_parses
 
 # Java 17 sources and whether they are valid syntax.
@@ -124,7 +124,7 @@ def test_people(spark):
 def test_components(spark):
     nodes = spark.createDataFrame([(f"{i:03}",) for i in range(60)], "node string")
     edges = spark.createDataFrame([(f"{i:03}", f"{i + 1:03}") for i in range(40)] + [("050", "055")], "a string, b string")
-    got = {r.node: r.component for r in names.components(nodes, edges).collect()}
+    got = {r.node: r.component for r in components.components(nodes, edges).collect()}
     assert got == {f"{i:03}": "000" if i <= 40 else ("050" if i == 55 else f"{i:03}") for i in range(60)}
 
 
