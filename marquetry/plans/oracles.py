@@ -115,6 +115,9 @@ ORACLES: dict[str, str] = {
     "q11_high_pairs": f"""with {RESULTS}, {MEANS}, p as (select x.grp, x.member as member_a, y.member as member_b, {SCORE.replace('A', 'x.mean_value').replace('B', 'y.mean_value')} as similarity from means x join means y on x.grp = y.grp and x.member < y.member and x.mean_value + y.mean_value >= 80)
       select *, {STATUS.replace('S', 'similarity')} as status from p where similarity > 40""",
     "q12_pair_keys": "with o as (select o_orderkey, 'c' || cast(o_custkey % 40 as varchar) as a, 'c' || cast(o_orderkey % 40 as varchar) as b from orders) select least(a, b) || '|' || greatest(a, b) as pair_key, min(o_orderkey) as o_orderkey from o where a <> b group by 1",
+    "q13_file_owner": f"""with f as (select id as file_id, lower({_STEM}) as stem from {once('uploaded_files', '*')}),
+      p as (select id, lower(coalesce(name, '')) as n, split_part(lower(coalesce(name, '')), ' ', 1) as first, lower(split_part(coalesce(email, ''), '@', 1)) as local from {once('students', '*')})
+      select file_id, min(p.id) as person_id from f left join p on length(stem) > 0 and ((length(n) > 0 and contains(n, stem)) or (length(first) > 0 and contains(stem, first)) or (length(local) > 0 and local = regexp_replace(stem, '[{BLANKS}]', '', 'g'))) group by file_id""",
     "q14_rolling_counts": f"select count(*) as total, count(*) filter (where ts > timestamp '{EVENTS_NOW}' - interval 7 days) as this_week, count(*) filter (where ts > timestamp '{EVENTS_NOW}' - interval 24 hours) as today from events",
     "q15_newest_per_user": "select user_id, rn, event_id, event_type, total from (select *, row_number() over (partition by user_id order by ts desc, event_id) as rn, count(*) over (partition by user_id) as total from events) where rn <= 10",
     "q15_second_page": "select event_id, user_id, event_type from events order by ts desc, event_id limit 10 offset 10",
@@ -144,6 +147,7 @@ ORACLES: dict[str, str] = {
     "q29_delete_cascade": "select o_orderkey, o_custkey from orders where o_custkey not in (select c_custkey from customer where c_acctbal < 0)",
     "q29_upsert": "with n as (select p_partkey + 10 as p_partkey, 0 as p_size from part where p_size > 40) select p_partkey, p_size from part where p_partkey not in (select p_partkey from n) union all select p_partkey, p_size from n",
     "q30_daily_counts": "select strftime(ts, '%Y-%m-%d') as day, event_type as kind, count(*) as n from events group by all",
+    "q31_json_fields": f"select id, cast(case when json_valid(clones_json) and json_type(clones_json) = 'ARRAY' then json_array_length(clones_json) else 0 end as bigint) as elements from {once('analyses', '*')}",
     "q33_text_labels": f"""select id, {_BASE} as base, {_STEM} as stem, lower(string_split(coalesce(name, ''), '.')[-1]) as ext, upper(substring({_BASE}, 1, 1)) || substring({_BASE}, 2) as title,
       regexp_replace({_STEM}, '[{BLANKS}]', '', 'g') as tight, url_encode(coalesce(name, '')) as url from {once('uploaded_files', '*')}""",
     "q34_first_lookup": f"select s.id, coalesce(u.username, 'none') as username from {once('students', '*')} s left join (select email, arg_min(username, id) as username from {once('users', '*')} where email is not null group by 1) u on u.email = s.email",
