@@ -140,7 +140,7 @@ def q19_users_with_counts(spark, d):
 
 
 def q20_nested_sections(spark, d):
-    n, c = table(spark, d, "nation").select("n_nationkey", "n_name"), table(spark, d, "customer").filter("c_acctbal > 9000").select("c_nationkey", "c_name")
+    n, c = table(spark, d, "nation").select("n_nationkey", "n_name"), table(spark, d, "customer").select("c_nationkey", "c_name")
     out = catalogue.nested_children(n, c, "n_nationkey", "c_nationkey", ["c_name"], "members")
     return out.select("n_name", F.array_join(F.transform("members", lambda m: m["c_name"]), ",").alias("members"))
 
