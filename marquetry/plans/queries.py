@@ -248,7 +248,7 @@ def q35_owned_row(spark, d):
 
 
 def q36_grouped_rows(spark, d):
-    c = table(spark, d, "customer").filter("c_acctbal > 9500").select("c_mktsegment", "c_custkey")
+    c = table(spark, d, "customer").select("c_mktsegment", "c_custkey")
     return catalogue.grouped_rows(c, "c_mktsegment", ["c_custkey"]).select("c_mktsegment", F.array_join(F.transform("rows", lambda r: r["c_custkey"].cast("string")), ",").alias("members"))
 
 

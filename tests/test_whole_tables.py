@@ -26,3 +26,9 @@ def test_nested_sections_hold_all_members(spark):
     got = by_query(spark, "q20_nested_sections")
     assert got == by_sql("select n_name, coalesce(string_agg(c_name, ',' order by c_name), '') from nation left join customer on c_nationkey = n_nationkey group by n_nationkey, n_name")
     assert sum(len(m.split(",")) for _, m in got if m) == by_sql("select count(*) from customer")[0][0]
+
+
+def test_grouped_rows_hold_all_rows(spark):
+    got = by_query(spark, "q36_grouped_rows")
+    assert got == by_sql("select coalesce(nullif(c_mktsegment, ''), 'Unassigned'), string_agg(cast(c_custkey as varchar), ',' order by c_custkey) from customer group by 1")
+    assert sum(len(m.split(",")) for _, m in got) == by_sql("select count(*) from customer")[0][0]
