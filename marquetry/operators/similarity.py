@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquetry.functions import labels as L
@@ -43,20 +43,27 @@ def high_pairs(means: DataFrame, above: int = 70) -> DataFrame:
 def pair_status_counts(means: DataFrame) -> DataFrame:
     """How many unordered pairs of a group fall into each status, without forming them.
 
-    Members are binned by their exact mean (to 0.1 of a point, at most 1001 bins a group); pairs of bins are weighted by their
-    counts, so the work is bounded per group however many members it has. Columns: grp, status, pairs.
+    Means are counted in steps of their last decimal, so sums are exact and a group has at most 1,000,001 distinct ones however
+    many members it has. A pair reaches a status from a sum of means on: one window in order of the means gives each mean the
+    number of members that are high enough for it. Columns: grp, status, pairs.
     """
-    bins = means.groupBy("grp", F.round("mean_value", 1).alias("bin")).agg(F.count("*").alias("n"))
-    a, b = bins.alias("a"), bins.alias("b")
-    pairs = F.when(F.col("a.bin") == F.col("b.bin"), F.expr("a.n * (a.n - 1) div 2")).otherwise(F.col("a.n") * F.col("b.n"))
-    s = score(F.col("a.bin"), F.col("b.bin"))
-    return (
-        a.join(b, (F.col("a.grp") == F.col("b.grp")) & (F.col("a.bin") <= F.col("b.bin")))
-        .select(F.col("a.grp").alias("grp"), L.klass(s, "similarity").alias("status"), pairs.alias("n"))
-        .groupBy("grp", "status")
-        .agg(F.sum("n").alias("pairs"))
-        .filter("pairs > 0")
-    )
+    bounds, lowest = L.ABOVE["similarity"]
+    step = 10_000
+    # the score is the rounded half of the sum, so above a bound means a sum of 2 * bound + 1 or more
+    least = [(2 * bound + 1) * step for _, bound in bounds]
+    n = means.groupBy("grp", F.round(F.col("mean_value") * step).cast("bigint").alias("v")).agg(F.count("*").alias("n"))
+    # per mean: one row that adds its members (of = -1) and, for each bound, one that asks at the least mean of a partner
+    adds = F.struct(F.col("v").alias("at"), F.lit(-1).alias("of"), F.lit(0).alias("own"))
+    asks = [F.struct((F.lit(t) - F.col("v")).alias("at"), F.lit(i).alias("of"), (2 * F.col("v") >= t).cast("int").alias("own")) for i, t in enumerate(least)]
+    rows = n.select("grp", "n", F.explode(F.array(adds, *asks)).alias("r")).select("grp", "n", "r.*")
+    w = Window.partitionBy("grp").orderBy(F.col("at").desc(), "of").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("partners", F.sum(F.when(F.col("of") < 0, F.col("n")).otherwise(0)).over(w))
+    reach = [F.expr(f"sum(case when of = {i} then n * (partners - own) else 0 end) div 2") for i in range(len(least))]
+    every = F.expr("sum(case when of < 0 then n else 0 end)")
+    totals = rows.groupBy("grp").agg(every.alias("members"), *[r.alias(f"r{i}") for i, r in enumerate(reach)])
+    up_to = [F.col(f"r{i}") for i in range(len(least))] + [F.expr("members * (members - 1) div 2")]
+    counts = [F.struct(F.lit(name).alias("status"), (c - before).alias("pairs")) for name, c, before in zip([*(b for b, _ in bounds), lowest], up_to, [F.lit(0), *up_to])]
+    return totals.select("grp", F.explode(F.array(*counts)).alias("r")).select("grp", "r.status", "r.pairs").filter("pairs > 0")
 
 
 def pair_key(a, b):
