@@ -455,6 +455,10 @@ class _Parser:
             self.expression()
 
     # statements
+    def remembered(self, m: re.Match[str] | None) -> bool:
+        """Whether a shape was accepted before; not where an `else` follows that an `if` in it has to take."""
+        return m is not None and m[0] in self.good_statements and not (self.s[m.end()] == "e" and "F" in m[0])
+
     def block(self) -> None:
         self.need("{")
         while not self.at("}"):
@@ -463,7 +467,7 @@ class _Parser:
 
     def block_statement(self) -> None:
         m = _SIMPLE.match(self.s, self.p)
-        if m and m[0] in self.good_statements:
+        if self.remembered(m):
             self.p = m.end()
             return
         start = self.p
@@ -587,7 +591,7 @@ class _Parser:
 
     def statement_only(self) -> None:
         m = _SIMPLE.match(self.s, self.p)
-        if m and not self.at("p") and m[0] in self.good_statements and self.s[self.p] not in "mSf@":
+        if self.remembered(m) and not self.at("p") and self.s[self.p] not in "mSf@":
             # a declaration is no statement here; shapes with two names in a row are parsed
             if not re.match(r"[i1-8p][^=(]*[>\]i1-8][i1-8]", m[0]):
                 self.p = m.end()
