@@ -2,8 +2,9 @@
 
 1. Every name is parsed: titles, remarks in brackets, accents and letter case go; a comma, the address, a nickname table and the
    number of different partners a token has tell the family name from the given name.
-2. Family names are blocked by the phonetic codes of their tokens (and the codes with one sound left out), compared by
-   Jaro-Winkler similarity and edit distance, and clustered by connected components. A spelling that the owner's own address
+2. Family names are blocked by the phonetic codes of their tokens (and the codes with one sound left out) and by the tokens with
+   one or two letters left out, which no close pair escapes, compared by Jaro-Winkler similarity and edit distance, and
+   clustered by connected components. A spelling that the owner's own address
    confirms is never linked to another confirmed one; it is where unconfirmed ones may lead to.
 3. Inside a family, given names are matched with the nickname table, as initials where only one person fits, and by
    Jaro-Winkler. Family and given name together are the person; relatives stay apart.
@@ -18,6 +19,7 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -63,6 +65,23 @@ def codes(token: str) -> list[str]:
     return sorted({p, *(p[:i] + p[i + 1 :] for i in range(len(p)))} - {""}) or [token[:1]]
 
 
+def shortened(token: str) -> set[str]:
+    """The token, and it with one letter left out; from 8 letters on with two as well.
+
+    Two tokens that `close_family` accepts always share one: each edit, a transposition too, costs either side one letter at most.
+    """
+    out = {token}
+    for _ in range(1 if len(token) < 8 else 2):
+        out |= {t[:i] + t[i + 1 :] for t in out for i in range(len(t))}
+    return out - {""}
+
+
+def block_keys(token: str) -> list[int]:
+    """Hashes of the phonetic codes and of the shortened tokens: the blocks of a family name."""
+    keys = [f"/{c}" for c in codes(token)] + sorted(shortened(token))
+    return [int.from_bytes(blake2b(k.encode(), digest_size=8).digest(), "big", signed=True) for k in keys]
+
+
 def edits(a: str, b: str, most: int = 3) -> int:
     """Edit distance with transpositions of neighbours; most + 1 stands for more."""
     if a == b:
@@ -187,9 +206,9 @@ def _close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64())], names=["a", "b", "s"])
 
 
-@F.udf(T.ArrayType(T.StringType()), useArrow=True)
-def _code_list(token):
-    return codes(token)
+@F.udf(T.ArrayType(T.LongType()), useArrow=True)
+def _key_list(token):
+    return block_keys(token)
 
 
 def families(spellings: DataFrame) -> DataFrame:
@@ -204,7 +223,7 @@ def families(spellings: DataFrame) -> DataFrame:
     typed = s.select("typed").distinct().join(sure, F.col("typed") == F.col("sure"), "left").join(said, "typed", "left")
     typed = cut(typed.select("typed", F.coalesce("sure", "said").alias("known")))
     loose = typed.filter("known is null").select("typed")
-    keyed = lambda df, c: df.select(F.col(c), F.explode(_code_list(F.col(c))).alias(f"k_{c}"))
+    keyed = lambda df, c: df.select(F.col(c), F.explode(_key_list(F.col(c))).alias(f"k_{c}"))
     to_sure = keyed(loose, "typed").join(keyed(sure, "sure"), F.col("k_typed") == F.col("k_sure")).select("typed", "sure").distinct()
     best = to_sure.mapInArrow(_close_pairs, "a string, b string, s double").groupBy("a").agg(F.max_by("b", F.struct("s", "b")).alias("best"))
     typed = cut(typed.join(best, F.col("typed") == F.col("a"), "left").select("typed", F.coalesce("known", "best").alias("known")))
