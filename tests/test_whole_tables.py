@@ -32,3 +32,10 @@ def test_grouped_rows_hold_all_rows(spark):
     got = by_query(spark, "q36_grouped_rows")
     assert got == by_sql("select coalesce(nullif(c_mktsegment, ''), 'Unassigned'), string_agg(cast(c_custkey as varchar), ',' order by c_custkey) from customer group by 1")
     assert sum(len(m.split(",")) for _, m in got) == by_sql("select count(*) from customer")[0][0]
+
+
+def test_pair_keys_grow_with_the_orders(spark):
+    got = by_query(spark, "q12_pair_keys")
+    a, b = "'c' || o_custkey", "'c' || o_orderkey"
+    assert got == by_sql(f"select least({a}, {b}) || '|' || greatest({a}, {b}), min(o_orderkey) from orders where o_custkey <> o_orderkey group by 1")
+    assert len(got) > 780
