@@ -9,7 +9,12 @@ segment of its own, and the segments to index are allocated by cost: rarest docu
    own triples exceed the allowance leaves here, before anything of it is indexed.
 2. Packs index the allocated triples of the remaining sets - one entry per different set, however many records have it - and
    store those sets once.
-3. Buckets pair the sets that meet under a triple, filtered by size and by position; pairs are verified on the whole sets.
+3. Buckets pair the sets that meet under a triple, filtered by size and by position; pairs are verified on the whole sets. A
+   triple under which very many different sets meet leaves its bucket in cells - a block of its list against another - that
+   tasks elsewhere pair.
+
+What travels is packed: texts as compressed blocks, hashes sent for pricing as gaps of sorted 32-bit values, index entries as 32
+bits of hash and a rank, with the set named once per bucket. A clash of 32 bits only adds a candidate, which verification drops.
 
 Frequencies, allocation and verification cover all records; nothing is sampled or capped.
 """
@@ -24,13 +29,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquetry.llm.kernels import U, Words, id_hash, mix, text_chunks
-from marquetry.llm.records import packed
-from marquetry.llm.shared_spans import _bucket, _groups, _split
+from marquetry.llm.components import components
+from marquetry.llm.copies import PAIR_BLOCK, group_pairs
+from marquetry.llm.kernels import U, Words, mix, text_chunks
+from marquetry.llm.records import packed, rows_of
+from marquetry.llm.shared_spans import _groups, _split
+from marquetry.session import cut
 
 THRESHOLD = 0.6
-#: Sets that one task pairs under a triple before the rest of the triple's list is passed on in blocks.
+#: Entries that are paired with their partners at once: bounds the memory of a task.
 LIST_BLOCK = 4096
+#: A triple's list of more different sets than this is split into cells; at most this many blocks, larger where the list is longer.
+HOT_LIST = 20_000
+HOT_BLOCKS = 64
 _I = np.int64
 
 
@@ -38,13 +49,8 @@ class _Pack:
     """Triples of a pack's records: owner, hash, and the pack's distinct hashes with their counts."""
 
     def __init__(self, table: pa.Table, buckets: int) -> None:
-        rows: dict[str, str] = {}
-        for i, t in zip(table.column("id").to_pylist(), table.column("text").to_pylist()):
-            if t is not None and t.strip():
-                rows[i] = max(t, rows.get(i, t))
-        self.ids = sorted(rows)
+        self.ids, texts = rows_of(table)
         docs, hashes, self.sequence = [np.zeros(0, _I)], [np.zeros(0, U)], []
-        texts = [rows[i] for i in self.ids]
         for a, z in text_chunks(texts):
             w = Words(texts[a:z])
             d, h = w.triples()
@@ -52,7 +58,7 @@ class _Pack:
         self.doc, self.hash = np.concatenate(docs), np.concatenate(hashes)
         values, self.at, self.count = np.unique(self.hash, return_inverse=True, return_counts=True)
         self.values = values
-        self.parts = dict(_split(values, buckets))  # bucket -> positions among the distinct hashes, in order of hash
+        self.parts = {b: x[np.argsort(_short(values[x]), kind="stable")] for b, x in _split(values, buckets)}  # bucket -> positions among the distinct hashes
         self.sizes = np.bincount(self.doc, minlength=len(self.ids))
 
 
@@ -61,10 +67,26 @@ def _short(h: np.ndarray) -> np.ndarray:
     return (h & U(0xFFFFFFFF)).astype(np.uint32)
 
 
+def gaps(sorted_values: np.ndarray) -> bytes:
+    """Sorted 32-bit values as their differences, 3 bytes each where all differences fit, else 4; a first byte says which."""
+    d = np.diff(sorted_values, prepend=np.uint32(0)).astype(np.uint32)
+    if len(d) and d.max() >= 1 << 24:
+        return b"4" + d.tobytes()
+    return b"3" + (d & np.uint32(0xFFFF)).astype(np.uint16).tobytes() + (d >> np.uint32(16)).astype(np.uint8).tobytes()
+
+
+def from_gaps(data: bytes, n: int) -> tuple[np.ndarray, int]:
+    """The n values of gaps(), and the bytes they took."""
+    if data[:1] == b"4":
+        return np.cumsum(np.frombuffer(data, np.uint32, n, 1), dtype=np.uint32), 1 + 4 * n
+    d = np.frombuffer(data, np.uint16, n, 1).astype(np.uint32) | (np.frombuffer(data, np.uint8, n, 1 + 2 * n).astype(np.uint32) << np.uint32(16))
+    return np.cumsum(d, dtype=np.uint32), 1 + 3 * n
+
+
 def _send(buckets: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         p = _Pack(table, buckets)
-        out = [(b, _short(p.values[x]).tobytes() + np.minimum(p.count[x], 255).astype(np.uint8).tobytes()) for b, x in p.parts.items()]
+        out = [(b, len(x).to_bytes(4, "little") + gaps(_short(p.values[x])) + np.minimum(p.count[x], 255).astype(np.uint8).tobytes()) for b, x in p.parts.items()]
         pack = table.column("pack")[0].as_py()
         return pa.table({"bucket": pa.array([b for b, _ in out], pa.int32()), "pack": pa.array([pack] * len(out), pa.int32()), "payload": pa.array([x for _, x in out], pa.binary())})
 
@@ -77,10 +99,11 @@ def _price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bucket = None
     for b in batches:
         for at, pack, p in zip(*(c.to_pylist() for c in b.columns)):
-            bucket, n = at, len(p) // 5
+            bucket, n = at, int.from_bytes(p[:4], "little")
+            values, used = from_gaps(p[4:], n)
             packs.append(pack)
-            parts.append(np.frombuffer(p, np.uint32, n))
-            counts.append(np.frombuffer(p, np.uint8, n, 4 * n))
+            parts.append(values)
+            counts.append(np.frombuffer(p, np.uint8, n, 4 + used))
     if not parts:
         return
     lengths = [len(x) for x in parts]
@@ -104,6 +127,26 @@ def set_digest(doc: np.ndarray, h: np.ndarray, docs: int) -> np.ndarray:
     return mix(out)
 
 
+def _entries(h: np.ndarray, g: np.ndarray, size: np.ndarray, rank: np.ndarray) -> bytes:
+    """Index entries of a bucket; those of a set stand together, and the set is named once."""
+    new = np.concatenate([[True], g[1:] != g[:-1]])
+    first = np.flatnonzero(new)
+    n = np.diff(np.concatenate([first, [len(g)]]))
+    kind = np.uint16 if rank.max(initial=0) < 1 << 16 else np.uint32
+    head = np.array([len(first), len(h), np.dtype(kind).itemsize], np.uint32)
+    return head.tobytes() + g[first].tobytes() + size[first].astype(np.uint32).tobytes() + n.astype(np.uint32).tobytes() + h.tobytes() + rank.astype(kind).tobytes()
+
+
+def _read_entries(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    sets, entries, width = (int(x) for x in np.frombuffer(data, np.uint32, 3))
+    g = np.frombuffer(data, U, sets, 12)
+    size, n = np.frombuffer(data, np.uint32, 2 * sets, 12 + 8 * sets).reshape(2, sets)
+    at = 12 + 16 * sets
+    h = np.frombuffer(data, np.uint32, entries, at)
+    rank = np.frombuffer(data, np.uint16 if width == 2 else np.uint32, entries, at + 4 * entries)
+    return h, np.repeat(g, n), np.repeat(size, n).astype(_I), rank.astype(_I)
+
+
 def _index(buckets: int, threshold: float) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
     """Rows of kind 0: a record and its set g (payload: word-sequence digest); 1: a set; 2: index entries for a bucket."""
 
@@ -141,71 +184,115 @@ def _index(buckets: int, threshold: float) -> Callable[[tuple, pa.Table, pa.Tabl
             use &= first[doc]
             doc, h, rank = doc[use], h[use], rank[use]
             for b, x in _split(h, buckets):
-                rows.append((2, b, None, None, None, np.stack([h[x], g[doc[x]], (p.sizes[doc[x]].astype(U) << U(32)) | rank[x].astype(U)]).tobytes()))
+                rows.append((2, b, None, None, None, _entries(_short(h[x]), g[doc[x]], p.sizes[doc[x]], rank[x])))
         return pa.table({n: pa.array(col, t) for n, t, col in zip(names, types, zip(*rows) if rows else [[]] * 6)})
 
     return run
 
 
-def _meet(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs of different sets that meet under a triple and can still reach the threshold by size and by position.
-
-    Rows are (g_a, g_b). A triple's list is walked by increasing size in blocks of LIST_BLOCK against the members that are
-    near enough in size, so memory stays bounded however long the list is.
-    """
+def _paired(h: np.ndarray, g: np.ndarray, size: np.ndarray, rank: np.ndarray, threshold: float, side: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Pairs of entries of equal h that can still reach the threshold by size and by position; with `side`, of different sides only.
+
+    Entries are sorted by h, then size, and walked in blocks of LIST_BLOCK against the partners behind them that are near enough
+    in size, so memory stays bounded however long a list is."""
+    group, _, last = _groups(h)
+    end = last[group] + 1
+    todo = np.flatnonzero(np.arange(len(h)) < end - 1)
+    found: list[np.ndarray] = []
+    held = 0
+    for k in range(0, len(todo), LIST_BLOCK):
+        i = todo[k : k + LIST_BLOCK]
+        # partners stand behind i in the list; sizes increase, so they end where size exceeds size_i / threshold
+        limit = np.floor(size[i] / threshold + 1e-9)
+        lo, hi = i + 1, end[i].copy()
+        while (lo < hi).any():
+            mid = (lo + hi) // 2
+            ok = (lo < hi) & (size[np.minimum(mid, len(size) - 1)] <= limit)
+            lo, hi = np.where(ok, mid + 1, lo), np.where(ok | (lo >= hi), hi, mid)
+        n = lo - i - 1
+        for piece in np.array_split(np.arange(len(i)), max(1, int(n.sum()) // 2_000_000)):
+            m = n[piece]
+            a = np.repeat(i[piece], m)
+            b = a + 1 + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            need = np.ceil(threshold / (1 + threshold) * (size[a] + size[b]) - 1e-9)
+            # this triple may be the first they share or a later one: those before it are at most min(rank) more
+            ok = np.minimum(size[a] - rank[a], size[b] - rank[b]) + np.minimum(rank[a], rank[b]) >= need
+            if side is not None:
+                ok &= side[a] != side[b]
+            x, y = np.minimum(g[a[ok]], g[b[ok]]), np.maximum(g[a[ok]], g[b[ok]])
+            if len(x):
+                found.append(np.unique(np.stack([x, y], 1), axis=0))
+                held += len(found[-1])
+            if held > 1_000_000:
+                yield _pairs(found)
+                found, held = [], 0
+    if found:
+        yield _pairs(found)
+
+
+_MET = "g_a bigint, g_b bigint, cell binary"
+
+
+def _cells(h: int, g: np.ndarray, size: np.ndarray, rank: np.ndarray, hot: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    """The list of one hot triple (sorted by size) as cells, each a block against itself or a later one; g_a and g_b of a cell
+    only spread the cells over tasks. Blocks too far apart in size have no cell."""
+    blocks = min(HOT_BLOCKS, -(-len(g) // hot) + 1)
+    cuts = np.linspace(0, len(g), blocks + 1).astype(int)
+    for i in range(blocks):
+        for j in range(i, blocks):
+            a, b = slice(cuts[i], cuts[i + 1]), slice(cuts[j], cuts[j + 1])
+            if size[b][0] > size[a][-1] / threshold + 1e-9:
+                break
+            parts = [np.concatenate([v[a], v[b]]) if i < j else v[a] for v in (g, size.astype(U), rank.astype(U))]
+            head = np.array([len(parts[0]), cuts[i + 1] - cuts[i] if i < j else 0], U)
+            yield pa.RecordBatch.from_arrays([pa.array([int(h)], pa.int64()), pa.array([i * blocks + j], pa.int64()), pa.array([head.tobytes() + np.stack(parts).tobytes()], pa.binary())], names=["g_a", "g_b", "cell"])
+
+
+def _meet(threshold: float, hot: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs (g_a, g_b) of different sets that meet under a triple of the bucket, or cells of triples where more than `hot` do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [np.frombuffer(x, U).reshape(3, -1) for b in batches for x in b.column(0).to_pylist()]
+        parts = [_read_entries(x) for b in batches for x in b.column(0).to_pylist()]
         if not parts:
             return
-        h, g, sr = np.concatenate(parts, 1)
-        size, rank = (sr >> U(32)).astype(_I), (sr & U(0xFFFFFFFF)).astype(_I)
+        h, g, size, rank = (np.concatenate(x) for x in zip(*parts))
+        del parts
         o = np.lexsort((g, size, h))
         h, g, size, rank = h[o], g[o], size[o], rank[o]
         once = np.ones(len(h), bool)
         once[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
         h, g, size, rank = h[once], g[once], size[once], rank[once]
-        group, first, last = _groups(h)
-        end = last[group] + 1
-        todo = np.flatnonzero(np.arange(len(h)) < end - 1)
-        found: list[np.ndarray] = []
-        held = 0
-        for k in range(0, len(todo), LIST_BLOCK):
-            i = todo[k : k + LIST_BLOCK]
-            # partners stand behind i in the list; sizes increase, so they end where size exceeds size_i / threshold
-            far = i.copy()
-            limit = np.floor(size[i] / threshold + 1e-9)
-            lo, hi = i + 1, end[i].copy()
-            while (lo < hi).any():
-                mid = (lo + hi) // 2
-                ok = (lo < hi) & (size[np.minimum(mid, len(size) - 1)] <= limit)
-                lo, hi = np.where(ok, mid + 1, lo), np.where(ok | (lo >= hi), hi, mid)
-            far = lo
-            n = far - i - 1
-            for piece in np.array_split(np.arange(len(i)), max(1, int(n.sum()) // 2_000_000)):
-                m = n[piece]
-                a = np.repeat(i[piece], m)
-                b = a + 1 + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-                need = np.ceil(threshold / (1 + threshold) * (size[a] + size[b]) - 1e-9)
-                left = 1 + np.minimum(size[a] - rank[a], size[b] - rank[b]) - 1
-                # this triple may be the first they share or a later one: those before it are at most min(rank) more
-                ok = left + np.minimum(rank[a], rank[b]) >= need
-                x, y = np.minimum(g[a[ok]], g[b[ok]]), np.maximum(g[a[ok]], g[b[ok]])
-                if len(x):
-                    found.append(np.unique(np.stack([x, y], 1), axis=0))
-                    held += len(found[-1])
-                if held > 1_000_000:
-                    yield _pairs(found)
-                    found, held = [], 0
-        if found:
-            yield _pairs(found)
+        _, first, last = _groups(h)
+        long = last - first >= hot
+        for a, z in zip(first[long], last[long] + 1):
+            yield from _cells(int(h[a]), g[a:z], size[a:z], rank[a:z], hot, threshold)
+        few = ~np.repeat(long, last - first + 1)
+        yield from _paired(h[few], g[few], size[few], rank[few], threshold)
+
+    return run
+
+
+def _open_cells(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Passes pairs on and pairs what is in cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            plain = b.filter(b.column(2).is_null())
+            yield plain.select([0, 1])
+            for x in b.column(2).drop_null().to_pylist():
+                n, left = (int(v) for v in np.frombuffer(x, U, 2))
+                g, size, rank = np.frombuffer(x, U, offset=16).reshape(3, n)
+                side = (np.arange(n) < left).astype(np.uint8)
+                o = np.lexsort((g, size))
+                for pairs in _paired(np.zeros(n, np.uint32), g[o], size[o].astype(_I), rank[o].astype(_I), threshold, side[o] if left else None):
+                    yield pairs.select([0, 1])
 
     return run
 
 
 def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
     p = np.unique(np.concatenate(found), axis=0).view(_I)
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[:, 0])), pa.array(np.ascontiguousarray(p[:, 1]))], names=["g_a", "g_b"])
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[:, 0])), pa.array(np.ascontiguousarray(p[:, 1])), pa.nulls(len(p), pa.binary())], names=["g_a", "g_b", "cell"])
 
 
 def _verify(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -232,11 +319,9 @@ class SetJoin:
     The index is cut to the shared folder once, as three results are read from it.
     """
 
-    def __init__(self, df: DataFrame, rows: int, threshold: float = THRESHOLD) -> None:
+    def __init__(self, df: DataFrame, rows: int, threshold: float = THRESHOLD, hot: int = HOT_LIST) -> None:
         if not 0 < threshold <= 1:
             raise ValueError("threshold must be in (0, 1]")
-        from marquetry.session import cut
-
         texts, packs, parts = packed(df.select("id", "text").filter("id is not null and text is not null"), rows)
         buckets = max(parts, packs // 4)
         sent = texts.groupBy("pack").applyInArrow(_send(buckets), "bucket int, pack int, payload binary")
@@ -244,22 +329,29 @@ class SetJoin:
         index = cut(texts.groupBy("pack").cogroup(priced.groupBy("pack")).applyInArrow(_index(buckets, threshold), _OUT))
         self.members = index.filter("kind = 0").select("id", "g", "size", F.col("payload").alias("sequence"))
         self.sets = index.filter("kind = 1").select("g", "payload").dropDuplicates(["g"])
-        self.met = index.filter("kind = 2").repartitionById(buckets, F.col("bucket")).select("payload").mapInArrow(_meet(threshold), "g_a bigint, g_b bigint").distinct()
+        met = index.filter("kind = 2").repartitionById(buckets, F.col("bucket")).select("payload").mapInArrow(_meet(threshold, hot), _MET).distinct()
+        self.met = met.mapInArrow(_open_cells(threshold), "g_a bigint, g_b bigint")
         a = self.sets.select(F.col("g").alias("g_a"), F.col("payload").alias("set_a"))
         b = self.sets.select(F.col("g").alias("g_b"), F.col("payload").alias("set_b"))
-        self.links = self.met.join(a, "g_a").join(b, "g_b").select("g_a", "g_b", "set_a", "set_b").mapInArrow(_verify(threshold), "g_a bigint, g_b bigint, similarity double")
+        # a pair from a cell may also have met elsewhere, so what is verified becomes distinct last
+        self.links = self.met.join(a, "g_a").join(b, "g_b").select("g_a", "g_b", "set_a", "set_b").mapInArrow(_verify(threshold), "g_a bigint, g_b bigint, similarity double").distinct()
 
 
-def near_pairs(df: DataFrame, rows: int, threshold: float = THRESHOLD) -> DataFrame:
-    """id_a, id_b: all pairs of records with similarity >= threshold, or (texts of fewer than three words) equal word sequences."""
-    from marquetry.llm.copies import group_pairs
+def near_pairs(df: DataFrame, rows: int, threshold: float = THRESHOLD, block: int = PAIR_BLOCK, hot: int = HOT_LIST) -> DataFrame:
+    """id_a, id_b: all pairs of records with similarity >= threshold, or (texts of fewer than three words) equal word sequences.
 
-    j = SetJoin(df, rows, threshold)
+    Copies of a set are salted, `block` records to a salt, for the pairs among them and for those of two linked sets alike."""
+    j = SetJoin(df, rows, threshold, hot)
     m = j.members.withColumn("key", F.when(F.col("size") > 0, F.col("g").cast("string").cast("binary")).otherwise(F.col("sequence")))
     copies = m.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("copies")).filter("copies > 1")
-    same = group_pairs(m.join(copies, F.col("key") == F.col("k")).select("key", "id", "copies"))
-    a, b = j.members.select(F.col("g").alias("g_a"), F.col("id").alias("x")), j.members.select(F.col("g").alias("g_b"), F.col("id").alias("y"))
-    linked = j.links.select("g_a", "g_b").join(a, "g_a").join(b, "g_b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    same = group_pairs(m.join(copies, F.col("key") == F.col("k")).select("key", "id", "copies"), block)
+    many = j.members.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > block).select("g", F.ceil(F.col("n") / block).cast("int").alias("salts"))
+    salted = j.members.select("g", "id").join(many, "g", "left").select("g", "id", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.coalesce(c, F.lit(1)) - 1))
+    ends = j.links.select("g_a", "g_b").join(many.select(F.col("g").alias("g_a"), F.col("salts").alias("of_a")), "g_a", "left").join(many.select(F.col("g").alias("g_b"), F.col("salts").alias("of_b")), "g_b", "left")
+    ends = ends.select("g_a", "g_b", "of_b", each(F.col("of_a")).alias("salt_a")).select("g_a", "g_b", "salt_a", each(F.col("of_b")).alias("salt_b"))
+    a, b = (salted.select(F.col("g").alias(f"g_{x}"), F.col("salt").alias(f"salt_{x}"), F.col("id").alias(y)) for x, y in (("a", "x"), ("b", "y")))
+    linked = ends.join(a, ["g_a", "salt_a"]).join(b, ["g_b", "salt_b"]).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
     return same.unionByName(linked)
 
 
@@ -267,9 +359,6 @@ def near_groups(df: DataFrame, rows: int, threshold: float = THRESHOLD) -> DataF
     """One row per record: record_id, group_id (the least id of the records it is connected with), copies (records with the
     same triples, itself included), links (different sets near its own). Records without partner form a group of their own;
     texts of fewer than three words are grouped by equal word sequence. Nothing is expanded into pairs of records."""
-    from marquetry.llm.components import components
-    from marquetry.session import cut
-
     j = SetJoin(df, rows, threshold)
     links = cut(j.links.select("g_a", "g_b"))
     ends = links.select(F.col("g_a").alias("g")).unionByName(links.select(F.col("g_b").alias("g")))

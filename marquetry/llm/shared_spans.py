@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquetry.llm.kernels import CHUNK_CHARS, Rolling, U, code_points, id_hash, merge_intervals, text_chunks, window_minima
-from marquetry.llm.records import packed
+from marquetry.llm.records import packed, rows_of
 
 LENGTH = 200
 GRAM = 96
@@ -85,12 +85,8 @@ def _split(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
 
 def _once(table: pa.Table) -> tuple[list[str], list[str], np.ndarray]:
     """ids, texts and id hashes of a pack's records, repeated rows left out."""
-    rows: dict[str, str] = {}
-    for i, t in zip(table.column("id").to_pylist(), table.column("text").to_pylist()):
-        if t is not None and t.strip():
-            rows[i] = max(t, rows.get(i, t))
-    ids = sorted(rows)
-    return ids, [rows[i] for i in ids], id_hash(ids)
+    ids, texts = rows_of(table)
+    return ids, texts, id_hash(ids)
 
 
 def _combined(*keys: np.ndarray) -> np.ndarray:

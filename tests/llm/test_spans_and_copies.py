@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 
 from marquetry.llm import copies, history, near_duplicates, shared_spans
@@ -154,6 +155,23 @@ def test_near_pairs_equal_brute_force(spark, seed, threshold):
     assert len(got) == len(set(got)) and set(got) == brute_near(rows, threshold)
 
 
+@pytest.mark.parametrize("hot,block", [(1, 1), (3, 2)])
+def test_hot_triples_and_many_copies_are_split_alike(spark, hot, block):
+    rows = near_rows(5)
+    rows += [(f"k{i}_{c}", "a", " ".join(["h1 h2 h3 h4", *(f"x{j}" for j in range(20)), f"own{i}"])) for i in range(9) for c in range(1 + i % 4)]
+    got = [tuple(r) for r in near_duplicates.near_pairs(table(spark, rows), 60, 0.6, block, hot).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_near(rows, 0.6)
+
+
+def test_gaps_round_trip():
+    r = random.Random(1)
+    for n, top in ((0, 10), (1, 2**32 - 1), (5, 2**32 - 1), (5000, 2**32 - 1), (300, 300)):
+        v = np.array(sorted(r.randint(0, top) for _ in range(n)), np.uint32)
+        data = near_duplicates.gaps(v)
+        back, used = near_duplicates.from_gaps(data + b"tail", n)
+        assert (back == v).all() and used == len(data)
+
+
 def test_near_groups(spark):
     rows = near_rows(2)
     pairs = brute_near(rows, 0.6)
