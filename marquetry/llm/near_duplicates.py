@@ -236,7 +236,7 @@ _MET = "g_a bigint, g_b bigint, cell binary"
 def _cells(h: int, g: np.ndarray, size: np.ndarray, rank: np.ndarray, hot: int, threshold: float) -> Iterator[pa.RecordBatch]:
     """The list of one hot triple (sorted by size) as cells, each a block against itself or a later one; g_a and g_b of a cell
     only spread the cells over tasks. Blocks too far apart in size have no cell."""
-    blocks = min(HOT_BLOCKS, -(-len(g) // hot) + 1)
+    blocks = min(HOT_BLOCKS, len(g), -(-len(g) // hot) + 1)
     cuts = np.linspace(0, len(g), blocks + 1).astype(int)
     for i in range(blocks):
         for j in range(i, blocks):
