@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import os
+import re
 import tempfile
 import zipfile
 
@@ -27,9 +29,11 @@ def build_session(app: str = "marquetry", master: str | None = None, shuffle_par
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; only where that is unset (tests) a folder of our own."""
+    """The shared folder named by spark.checkpoint.dir; only where that is unset and the master is local (tests) one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="marquetry-checkpoint-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -40,6 +44,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the executors delete the shuffle files of finished jobs now: Spark does so when the driver collects its garbage,
+    which a driver with little to do may put off until the disks are full. Call it after a large `cut`."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions_for(spark: SparkSession, rows: int, rows_per_partition: int) -> int:
     """Partitions so that each holds about rows_per_partition rows, never fewer than the session's own number."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_per_partition))
