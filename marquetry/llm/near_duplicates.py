@@ -34,7 +34,7 @@ from marquetry.llm.copies import PAIR_BLOCK, group_pairs
 from marquetry.llm.kernels import U, Words, mix, text_chunks
 from marquetry.llm.records import packed, rows_of
 from marquetry.llm.shared_spans import _groups, _split
-from marquetry.session import cut
+from marquetry.session import cut, release
 
 THRESHOLD = 0.6
 #: Entries that are paired with their partners at once: bounds the memory of a task.
@@ -327,6 +327,7 @@ class SetJoin:
         sent = texts.groupBy("pack").applyInArrow(_send(buckets), "bucket int, pack int, payload binary")
         priced = sent.repartitionById(buckets, F.col("bucket")).mapInArrow(_price, "pack int, bucket int, payload binary").repartition(parts, "pack")
         index = cut(texts.groupBy("pack").cogroup(priced.groupBy("pack")).applyInArrow(_index(buckets, threshold), _OUT))
+        release(df.sparkSession)  # texts and prices are not needed any more
         self.members = index.filter("kind = 0").select("id", "g", "size", F.col("payload").alias("sequence"))
         self.sets = index.filter("kind = 1").select("g", "payload").dropDuplicates(["g"])
         met = index.filter("kind = 2").repartitionById(buckets, F.col("bucket")).select("payload").mapInArrow(_meet(threshold, hot), _MET).distinct()
