@@ -6,6 +6,8 @@ import gc
 import os
 import re
 import tempfile
+import time
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,11 +46,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """The rows of df as a Parquet table in the shared folder, laid out by the columns `by`, so later reads take only the columns
+    and parts they need. Unlike a checkpoint it holds on to nothing of the job that made it. Gone when the application ends."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}")
+    out = df.write.option("parquet.enable.dictionary", "false")
+    (out.partitionBy(*by) if by else out).parquet(path.toString())
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(path.toString())
+
+
 def release(spark: SparkSession) -> None:
     """Lets the executors delete the shuffle files of finished jobs now: Spark does so when the driver collects its garbage,
-    which a driver with little to do may put off until the disks are full. Call it after a large `cut`."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    which a driver with little to do may put off until the disks are full. Call it after a large table is `written`."""
+    for _ in range(2):  # what the first round finalises, the second one finds free
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def partitions_for(spark: SparkSession, rows: int, rows_per_partition: int) -> int:
