@@ -34,7 +34,7 @@ from marquetry.llm.copies import PAIR_BLOCK, group_pairs
 from marquetry.llm.kernels import U, Words, mix, text_chunks
 from marquetry.llm.records import packed, rows_of
 from marquetry.llm.shared_spans import _groups, _split
-from marquetry.session import cut, release
+from marquetry.session import cut, release, written
 
 THRESHOLD = 0.6
 #: Entries that are paired with their partners at once: bounds the memory of a task.
@@ -316,7 +316,7 @@ class SetJoin:
 
     Records that can have no partner are in neither. Null ids and blank texts are ignored, repeated rows of an id are one
     record (should their texts differ, the greatest counts), texts of fewer than three words have the empty set and take no part in links. Extra columns are ignored.
-    The index is cut to the shared folder once, as three results are read from it.
+    The index is written to the shared folder once, as three results are read from it.
     """
 
     def __init__(self, df: DataFrame, rows: int, threshold: float = THRESHOLD, hot: int = HOT_LIST) -> None:
@@ -326,7 +326,7 @@ class SetJoin:
         buckets = max(parts, packs // 4)
         sent = texts.groupBy("pack").applyInArrow(_send(buckets), "bucket int, pack int, payload binary")
         priced = sent.repartitionById(buckets, F.col("bucket")).mapInArrow(_price, "pack int, bucket int, payload binary").repartition(parts, "pack")
-        index = cut(texts.groupBy("pack").cogroup(priced.groupBy("pack")).applyInArrow(_index(buckets, threshold), _OUT))
+        index = written(texts.groupBy("pack").cogroup(priced.groupBy("pack")).applyInArrow(_index(buckets, threshold), _OUT), "kind")
         release(df.sparkSession)  # texts and prices are not needed any more
         self.members = index.filter("kind = 0").select("id", "g", "size", F.col("payload").alias("sequence"))
         self.sets = index.filter("kind = 1").select("g", "payload").dropDuplicates(["g"])
