@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ast
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marquetry.functions import text as X
+from marquetry.functions.syntax import python_parses
 
 LANGUAGES = ("python", "java")
 SHORTEST_CODE = 4
@@ -46,20 +46,12 @@ def with_verdicts(df: DataFrame, code: str, language: str) -> DataFrame:
 
 @F.pandas_udf(T.BooleanType())
 def _python_parses(codes: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    def ok(code: str | None) -> bool | None:
-        if code is None:
-            return None
-        try:
-            compile(code, "", "exec", ast.PyCF_ONLY_AST, True)
-            return True
-        except (SyntaxError, ValueError, MemoryError, RecursionError):
-            return False
-
     for batch in codes:
-        yield batch.map(ok)
+        yield batch.map(lambda code: None if code is None else python_parses(code))
 
 
 def simple_syntax(code: Column, language: Column) -> Column:
-    """True where the code passes the simple check: Python is parsed, Java always passes, other languages give null."""
+    """True where the code passes the simple check: Python is parsed, Java always passes, other languages give null, as does
+    Python code that the parser can't decide (see functions.syntax)."""
     lang = F.lower(X.trimmed(language))
     return F.when(lang == "python", _python_parses(F.when(lang == "python", code))).when(lang == "java", F.lit(True))
