@@ -8,6 +8,7 @@ lookup. What is new is parsed by recursive descent over the whole grammar.
 from __future__ import annotations
 
 import re
+import sys
 
 # Terminals. Reserved words and operators by the character that stands for them.
 WORDS = {
@@ -39,8 +40,9 @@ _TOKEN = re.compile(
     )
 )
 _ESCAPE = re.compile(r"(?<!\\)((?:\\\\)*)\\u+([0-9a-fA-F]{4})")
-_SIMPLE = re.compile(r"[^;{}]*;")
-_HEADER = re.compile(r"[^;{}=@]*\{")
+# Shapes of more terminals than this are always parsed.
+_SIMPLE = re.compile(r"[^;{}]{0,400};")
+_HEADER = re.compile(r"[^;{}=@]{0,400}\{")
 _CLOSE = {")": "(", "]": "[", "}": "{"}
 
 
@@ -964,11 +966,27 @@ class _Parser:
                 return kind
 
 
+#: Frames of the parser that a nested text may need: they lie on the heap, a few hundred bytes each, so memory is the only limit.
+DEEPEST = 1 << 30
+
+
 def java_parses(text: str) -> bool:
-    """Is the text a syntactically valid Java 17 source file? Texts nested too deeply for the parser count as invalid."""
+    """Is the text a syntactically valid Java 17 source file? However deeply it is nested: a process without the memory to tell raises."""
+    shallow = sys.getrecursionlimit()
+    try:
+        return _parses(text)
+    except RecursionError:
+        sys.setrecursionlimit(DEEPEST)
+        try:
+            return _parses(text)
+        finally:
+            sys.setrecursionlimit(shallow)
+
+
+def _parses(text: str) -> bool:
     try:
         p = _Parser(terminals(text))
         p.unit()
         return p.s[p.p] == "\0"
-    except (Bad, RecursionError, OverflowError, ValueError):
+    except (Bad, OverflowError, ValueError):
         return False

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import sys
 
 import numpy as np
 import pytest
@@ -43,6 +44,31 @@ def test_verdicts(spark):
     assert syntax.verdicts(df.limit(0)).collect() == []
 
 
+DEEP = "class A {{ void f() {{ {} }} int g = {}; }}"
+
+
+@pytest.mark.parametrize("n", [200, 1000, 5000])
+def test_nesting_is_no_error(n):
+    for statement, value in (("", "(" * n + "1" + ")" * n), ("{" * n + "}" * n, "1"), ("", "a ? b : " * n + "c"), ("if (a) " * n + "c();", "1"), ("", "f(" * n + "1" + ")" * n), ("", "a -> " * n + "c")):
+        assert java_parses(DEEP.format(statement, value))
+    assert not java_parses(DEEP.format("", "(" * n + "1 +" + ")" * n))
+    limit = sys.getrecursionlimit()
+    assert limit < 100_000  # put back
+
+
+def test_limits_of_the_parser_are_no_errors(spark):
+    sum_ = "x = " + "+".join(["1"] * 20_000)
+    chain = "if a:\n pass\n" + "elif b:\n pass\n" * 8_000
+    nested = "x = " + "(" * 250 + "1" + ")" * 250
+    df = spark.createDataFrame([("1", "python", sum_), ("2", "python", chain), ("3", "python", nested), ("4", "python", sum_ + "+"), ("5", "java", "// x\n"), ("6", "java", chain)], "id string, declared string, text string").selectExpr("*", "'o' as owner")
+    got = {r.record_id: (r.valid, r.verdict, r.parses_as, r.also_parses_as) for r in syntax.verdicts(df).collect()}
+    assert got == {"1": (True, "ok", "python", None), "2": (None, "undecided", None, None), "3": (None, "undecided", None, None), "4": (False, "corrupt", None, None), "5": (True, "ok", "java", None), "6": (False, "undecided", None, None)}
+    r = {r.language: (r.files, r.invalid, r.undecided) for r in syntax.rates(syntax.verdicts(df)).collect()}
+    assert r == {"python": (4, 1, 2), "java": (2, 1, 1)}
+    both = syntax.judge("", "python")
+    assert both == (True, "ok", "python", "java")
+
+
 PATH = f"{tokenize.TOKENIZERS}/{tokenize.VOCABULARY}"
 
 
