@@ -17,7 +17,8 @@ ABOVE = {
 AT_LEAST = {"maintainability": ((("good", 60), ("medium", 30)), "low")}
 # File kinds by extension and their display labels.
 FILE_KINDS = {"zip": "zip", "java": "java", "py": "python"}
-KIND_LABELS = {"zip": "ZIP Archive", "java": "Java", "python": "Python", "text": "Text"}
+KIND_LABELS = {"zip": "ZIP", "java": "Java", "python": "Python", "text": "Text"}
+KIND_ICONS = {"zip": "ZIP", "java": "JV", "python": "PY", "text": "TXT"}
 
 
 def klass(value: Column, scale: str) -> Column:
@@ -37,11 +38,16 @@ def batch_flag(clone: Column) -> Column:
 
 
 def file_kind(ext: Column) -> Column:
+    """Kind of a file by its extension (see sources.files.extension); text for all others."""
     return F.coalesce(*[F.when(ext == k, v) for k, v in FILE_KINDS.items()], F.lit("text"))
 
 
 def kind_label(kind: Column) -> Column:
-    return F.coalesce(*[F.when(kind == k, v) for k, v in KIND_LABELS.items()], F.lit("Text"))
+    return F.coalesce(*[F.when(kind == k, v) for k, v in KIND_LABELS.items()], F.lit("File"))
+
+
+def kind_icon(kind: Column) -> Column:
+    return F.coalesce(*[F.when(kind == k, v) for k, v in KIND_ICONS.items()], F.lit("F"))
 
 
 def size_label(size: Column) -> Column:
@@ -50,8 +56,18 @@ def size_label(size: Column) -> Column:
     return F.when(size >= 1048576, unit(1048576.0, " MB")).when(size >= 1024, unit(1024.0, " KB")).otherwise(F.concat(size.cast("string"), F.lit(" B")))
 
 
-def day_label(ts: Column, pattern: str = "MMM d, yyyy") -> Column:
-    return F.date_format(ts, pattern)
+# Date patterns in use, by name.
+DATE_PATTERNS = {"day": "MMM d, yyyy", "long_day": "MMMM d, yyyy", "moment": "MMM d, hh:mm a"}
+
+
+def day_label(ts: Column, pattern: str = "day") -> Column:
+    return F.date_format(ts, DATE_PATTERNS[pattern])
+
+
+def iso_label(ts: Column) -> Column:
+    """ISO form without zone; microseconds only where there are any. Null stays null."""
+    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.when(F.date_format(ts, "SSSSSS") == "000000", whole).otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
 
 
 def age_label(ts: Column, now: Column) -> Column:
@@ -76,10 +92,5 @@ def rounded(value: Column) -> Column:
     return F.floor(value + 0.5)
 
 
-def rounded1(value: Column) -> Column:
-    """Half up to one decimal."""
-    return F.floor(value * 10 + 0.5) / 10
-
-
 def clamped(value: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), value))

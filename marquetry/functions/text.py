@@ -80,6 +80,16 @@ def plural(n: Column) -> Column:
     return F.when(n != 1, F.lit("s")).otherwise(F.lit(""))
 
 
+def number_text(c: Column) -> Column:
+    """A number as text, without a fraction where it is whole."""
+    return F.regexp_replace(c.cast("string"), r"\.0$", "")
+
+
+def is_hex_colour(c: Column) -> Column:
+    """Is the text, without outer white space, # and six hexadecimal digits? Null for null."""
+    return trimmed(c).rlike(r"^#[0-9a-fA-F]{6}\z")
+
+
 def html_escaped(c: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         c = F.replace(c, F.lit(a), F.lit(b))

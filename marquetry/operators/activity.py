@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +41,21 @@ def rolling_counts(df: DataFrame, ts: str, now: Column) -> DataFrame:
     )
 
 
+# Texts of feed entries.
+DESCRIPTIONS = {"code": "Analyzed %s code - %s%% clone detected", "mock": "Analyzed %s code - %s%% clone detected (mock)", "file": "Analyzed %s file: %s - %s%% clone detected", "batch": "Uploaded batch: %s - %s files extracted%s"}
+
+
+def described(kind: str, *values: Column) -> Column:
+    """The text of a feed entry of a kind; null where a value is null. A batch ends with its section (see in_section)."""
+    known = reduce(Column.__and__, [v.isNotNull() for v in values])
+    return F.when(known, F.format_string(DESCRIPTIONS[kind], *values))
+
+
+def in_section(section: Column) -> Column:
+    """' (Section: name)', empty for null and empty names."""
+    return F.when(F.length(section) > 0, F.concat(F.lit(" (Section: "), section, F.lit(")"))).otherwise(F.lit(""))
+
+
 def with_labels(df: DataFrame, ts: str, now: Column, status: str | None = None) -> DataFrame:
     """Adds age_label, and shown_status ('success' for null and empty)."""
     out = df.withColumn("age_label", L.age_label(F.col(ts), now))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquetry.functions import text as X
@@ -24,12 +24,12 @@ def nested_children(parents: DataFrame, children: DataFrame, parent_key: str, ch
 def shares(df: DataFrame, by: Column, name: str) -> DataFrame:
     """Rows per value with percent of the total (one decimal): name, n, percent. No rows in, no rows out."""
     n = df.groupBy(by.alias(name)).agg(F.count("*").alias("n"))
-    return n.withColumn("percent", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 1))
+    return n.withColumn("percent", F.round(F.col("n") * 100.0 / n.agg(F.sum("n")).scalar(), 1))
 
 
 def share_of_max(df: DataFrame, column: str, name: str = "share") -> DataFrame:
-    """Each row's share of the largest value, the scale being at least 1. The input is one row per group."""
-    return df.withColumn(name, F.round(F.col(column) * 100.0 / F.greatest(F.max(column).over(Window.partitionBy()), F.lit(1)), 1))
+    """Each row's share of the largest value, the scale being at least 1. The maximum is a scalar subquery: no row moves for it."""
+    return df.withColumn(name, F.round(F.col(column) * 100.0 / F.greatest(df.agg(F.max(column)).scalar(), F.lit(1)), 1))
 
 
 def section_summary(df: DataFrame, section: str, member: str, value: str) -> DataFrame:
@@ -83,6 +83,37 @@ def grouped_rows(df: DataFrame, by: str, columns: list[str], name: str = "rows",
     return df.groupBy(X.falsy_to(F.col(by), default).alias(by)).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
 
 
+def totals(df: DataFrame, size: str, kind: str) -> DataFrame:
+    """One row: files, total_size (null sizes count as 0; 0 for no file), kinds (different ones, null not counted)."""
+    return df.agg(F.count("*").alias("files"), F.coalesce(F.sum(size), F.lit(0)).cast("bigint").alias("total_size"), F.count_distinct(F.col(kind)).alias("kinds"))
+
+
+def total_children(nested: DataFrame, column: str) -> DataFrame:
+    """One row: parents, and children, the sum of the sizes of the arrays in `column` (null arrays count as empty)."""
+    return nested.agg(F.count("*").alias("parents"), F.coalesce(F.sum(F.greatest(F.size(column), F.lit(0))), F.lit(0)).cast("bigint").alias("children"))
+
+
+def overall_mean(df: DataFrame, value: str, name: str) -> DataFrame:
+    """One row: the mean rounded half up to an integer, nulls counting as 0; 0 for no rows."""
+    return df.agg(F.coalesce(F.floor(F.avg(F.coalesce(F.col(value).cast("decimal(18,6)"), F.lit(0))) + F.lit(0.5)), F.lit(0)).cast("bigint").alias(name))
+
+
+def allowed(df: DataFrame, users: DataFrame, me: Column, roles: tuple[str, ...], key: str = "id", role: str = "role") -> DataFrame:
+    """All rows of df if the user whose key is `me` has one of the roles, else none. One user row (limit 1) is all that is broadcast."""
+    gate = users.filter((F.col(key) == me) & F.col(role).isin(*roles)).limit(1).select(F.lit(1).alias("_gate"))
+    return df.withColumn("_open", F.lit(1)).join(F.broadcast(gate), F.col("_open") == F.col("_gate"), "left_semi").drop("_open")
+
+
+def others(df: DataFrame, key: str, me: Column) -> DataFrame:
+    """Rows of others than `me`: what may be deleted by its own user's request is never the user. Null keys are nobody and leave."""
+    return df.filter(F.col(key) != me)
+
+
+def first_by(df: DataFrame, key: str, n: int = 500) -> DataFrame:
+    """The first n rows in order of a unique key (a report size)."""
+    return df.orderBy(key).limit(n)
+
+
 def complete(df: DataFrame, *columns: str) -> DataFrame:
     """Rows where none of the columns is null."""
     return df.na.drop(subset=list(columns))

@@ -14,10 +14,14 @@ def clone_pairs(df: DataFrame, key: str, text: str, first: int | None = 5) -> Da
 
     Columns: key, pair_no, first_line, repeat_line; lines count from 1 among the non-blank lines. `first` keeps the
     first pairs of a document in order of the repeat (a report size; None keeps all). Duplicates of `key` must be removed
-    before. The frames run inside one document, so a window task never holds more than one document's lines.
+    before. The frames run inside one document, so a window task never holds more than one document's lines, and both windows
+    live on the one exchange by document.
     """
-    lines = df.select(F.col(key), F.posexplode(X.solid_lines(F.col(text))).alias("pos", "line"))
-    lines = lines.select(key, (F.col("pos") + 1).alias("repeat_line"), X.trimmed(F.col("line")).alias("t")).filter(F.length("t") > SHORTEST_CLONE)
+    every = df.select(F.col(key), F.transform(X.solid_lines(F.col(text)), X.trimmed).alias("_l"))
+    kept = F.filter("_l", lambda x: F.length(x) > SHORTEST_CLONE)
+    # documents without a repeat end here, inside the scan's stage; the others' long lines travel once, by document
+    able = every.filter(F.size(kept) > F.size(F.array_distinct(kept)))
+    lines = able.select(key, F.posexplode("_l").alias("pos", "t")).filter(F.length("t") > SHORTEST_CLONE).select(key, (F.col("pos") + 1).alias("repeat_line"), "t").repartition(key)
     seen = lines.withColumn("first_line", F.min("repeat_line").over(Window.partitionBy(key, "t"))).filter("repeat_line > first_line")
     ranked = seen.withColumn("pair_no", F.row_number().over(Window.partitionBy(key).orderBy("repeat_line")))
     ranked = ranked if first is None else ranked.filter(F.col("pair_no") <= first)

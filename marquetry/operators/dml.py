@@ -37,6 +37,20 @@ def delete_keys(table: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     return table.join(keys.select(F.col(keys.columns[0]).alias(key)).distinct(), key, "left_anti").select(*table.columns)
 
 
+def delete_owned(table: DataFrame, requests: DataFrame, key: str, owner: str) -> DataFrame:
+    """Rows that remain after requests (key, owner): a row goes only if one of its key comes from its own owner. Null keys and
+    owners ask for nothing."""
+    asked = requests.select(F.col(key), F.col(owner)).na.drop().distinct()
+    return table.join(asked, [key, owner], "left_anti").select(*table.columns)
+
+
+def prepend(table: DataFrame, rows: DataFrame, order: str, at: int) -> DataFrame:
+    """New rows in front of the old ones: rows take the number `at` in the column `order`; the list is read by it in descending
+    order, then by the rows' own key. Tables without the column count as 0."""
+    old = table if order in table.columns else table.withColumn(order, F.lit(0))
+    return append(old, rows.withColumn(order, F.lit(at)))
+
+
 def cascade(children: DataFrame, foreign_key: str, deleted: DataFrame) -> DataFrame:
     """Children that remain after the parents named in `deleted` (one key column) went; children without parent stay."""
     return delete_keys(children, foreign_key, deleted)

@@ -24,21 +24,22 @@ def duplicate_lines(lines: Column) -> Column:
 
 
 def complexity_of(lines: Column, language: Column) -> Column:
-    """1 + for each line the number of the language's keywords it contains; unknown languages use the Python list."""
+    """1 + for each line the number of keywords it contains; every language but Python, unknown and null ones too, uses the Java list."""
 
     def points(words: tuple[str, ...]) -> Column:
         hits = lambda line: sum((F.contains(line, F.lit(w)).cast("int") for w in words[1:]), F.contains(line, F.lit(words[0])).cast("int"))
         return F.aggregate(lines, F.lit(0), lambda acc, line: acc + hits(line))
 
-    return F.lit(1) + F.when(language == "java", points(KEYWORDS["java"])).otherwise(points(KEYWORDS["python"]))
+    return F.lit(1) + F.when(language == "python", points(KEYWORDS["python"])).otherwise(points(KEYWORDS["java"]))
 
 
 def document_metrics(df: DataFrame, text: str, language: Column | None = None) -> DataFrame:
     """Adds lines_of_code, total_lines, duplicate_lines, clone_percentage, cyclomatic_complexity, maintainability_index.
 
-    Null text counts as empty: 1 line of code, 0 total lines, clone 0, complexity 1, maintainability 98.
+    Null text counts as empty: 1 line of code, 0 total lines, clone 0, complexity 1, maintainability 98. Without `language` all
+    texts are measured by the Python list.
     """
-    lang = F.lower(X.trimmed(F.coalesce(language, F.lit("python")))) if language is not None else F.lit("python")
+    lang = F.lower(X.trimmed(language)) if language is not None else F.lit("python")
     out = df.withColumn("_lines", X.solid_lines(F.col(text)))
     out = out.select(
         "*",
@@ -86,30 +87,38 @@ def class_histogram(df: DataFrame) -> DataFrame:
 
 # Reserved words per language, used for tagging and counting.
 RESERVED = {
-    "python": "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield".split(),
-    "java": "abstract boolean break byte case catch char class continue default do double else enum extends final finally float for if implements import instanceof int interface long new package private protected public return short static super switch this throw throws try void while true false null".split(),
+    "python": "def class if elif else for while return import from as try except finally with yield lambda pass break continue and or not in is True False None print self raise del global nonlocal assert".split(),
+    "java": "public private protected static final class interface extends implements void int double float boolean String char long short byte if else for while do switch case break continue return new this super try catch finally throw throws import package null true false abstract synchronized".split(),
 }
 NUMBER = r"\b(\d+\.?\d*)\b"
 CALL = r"\b([A-Za-z_]\w*)\s*\("
 
 
 def token_counts(df: DataFrame, text: str, language: Column) -> DataFrame:
-    """Adds numbers, calls, keywords, comment_lines (# for Python, // otherwise). Null text counts as empty."""
-    t, java = F.coalesce(F.col(text), F.lit("")), F.lower(X.trimmed(F.coalesce(language, F.lit("")))) == "java"
+    """Adds numbers, calls, keywords and comment_lines (Python's words and # for Python, Java's and // for all others). Null text counts as empty."""
+    t, python = F.coalesce(F.col(text), F.lit("")), F.lower(X.trimmed(F.coalesce(language, F.lit("")))) == "python"
     kw = lambda lang: F.regexp_count(t, F.lit(r"\b(" + "|".join(RESERVED[lang]) + r")\b"))
     lines = lambda mark: F.size(F.filter(X.newline_parts(t), lambda x: F.startswith(X.left_trimmed(x), F.lit(mark))))
     return df.select(
         "*",
         F.regexp_count(t, F.lit(NUMBER)).cast("bigint").alias("numbers"),
         F.regexp_count(t, F.lit(CALL)).cast("bigint").alias("calls"),
-        F.when(java, kw("java")).otherwise(kw("python")).cast("bigint").alias("keywords"),
-        F.when(java, lines("//")).otherwise(lines("#")).cast("bigint").alias("comment_lines"),
+        F.when(python, kw("python")).otherwise(kw("java")).cast("bigint").alias("keywords"),
+        F.when(python, lines("#")).otherwise(lines("//")).cast("bigint").alias("comment_lines"),
     )
 
 
-STRING_LITERAL = r"(\"\"\"|'''|\"|')(?:\\.|(?!\1)[\s\S])*?\1"
+def _literal(quote: str, n: int) -> str:
+    """A literal between n quotes: up to the first n that are not escaped; where there are none, up to the last escaped ones.
+
+    Possessive loops: the JVM's regular expressions keep no stack frame per character, however long the literal is."""
+    inner = rf"[^{quote}\\]|\\[\s\S]" + (rf"|{quote}(?!{quote}{{{n - 1}}})" if n > 1 else "")
+    return rf"{quote}{{{n}}}(?:{inner})*+{quote}{{{n}}}|{quote}{{{n}}}[\s\S]*\\{quote}{{{n}}}"
+
+
+STRING_LITERAL = "|".join(_literal(q, n) for n in (3, 1) for q in "\"'")
 
 
 def string_literals(text: Column) -> Column:
-    """All string literals of a code text, quotes included (back-reference and look-ahead are evaluated in the JVM)."""
+    """All string literals of a code text, quotes included, each read in the order triple before single quotes."""
     return F.regexp_extract_all(text, F.lit(STRING_LITERAL), F.lit(0))

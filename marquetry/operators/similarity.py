@@ -26,15 +26,21 @@ def score(a, b):
 def high_pairs(means: DataFrame, above: int = 70) -> DataFrame:
     """Unordered pairs of different members of a group whose score is above the bound, with pair key and status.
 
-    A pair above the bound needs a partner of at least 2*above-100+1 points, so members below that never enter the join; the
-    join itself is an equi-join on the group with the order of members as residual.
+    The score is the rounded half of the sum, so a pair needs a sum of 2 * above + 1. Members that cannot reach it with the highest
+    mean of their group never enter the join. The others are joined by group and whole points of the mean: each asks for the points
+    at which a partner can be high enough, so the work of a large group spreads over as many keys as its means have points, and
+    only pairs at the bound are dropped behind the join.
     """
-    able = means.filter(F.col("mean_value") >= 2 * above - 100)
-    a, b = able.alias("a"), able.alias("b")
-    s = score(F.col("a.mean_value"), F.col("b.mean_value"))
+    least = 2 * above + 1
+    top = means.groupBy(F.col("grp").alias("g")).agg(F.max("mean_value").alias("top"))
+    able = means.join(top, F.col("grp") == F.col("g")).filter(F.col("mean_value") + F.col("top") >= least)
+    points = F.floor("mean_value").cast("int")
+    from_, to = F.floor(F.lit(least) - F.col("mean_value")).cast("int"), F.floor("top").cast("int")
+    a = able.select(F.col("grp").alias("g_a"), F.col("member").alias("member_a"), F.col("mean_value").alias("v_a"), F.explode(F.sequence(F.least(from_, to), to)).alias("at"))
+    b = able.select("grp", F.col("member").alias("member_b"), F.col("mean_value").alias("v_b"), points.alias("points"))
     return (
-        a.join(b, (F.col("a.grp") == F.col("b.grp")) & (F.col("a.member") < F.col("b.member")) & (F.col("a.mean_value") + F.col("b.mean_value") >= 2 * above))
-        .select(F.col("a.grp").alias("grp"), F.col("a.member").alias("member_a"), F.col("b.member").alias("member_b"), s.alias("similarity"))
+        a.join(b, (F.col("g_a") == F.col("grp")) & (F.col("at") == F.col("points")) & (F.col("member_a") < F.col("member_b")) & (F.col("v_a") + F.col("v_b") >= least))
+        .select("grp", "member_a", "member_b", score(F.col("v_a"), F.col("v_b")).alias("similarity"))
         .filter(F.col("similarity") > above)
         .withColumn("status", L.klass(F.col("similarity"), "similarity"))
     )

@@ -39,9 +39,19 @@ def lenient_verdict(code: Column, language: Column) -> Column:
 
 
 def with_verdicts(df: DataFrame, code: str, language: str) -> DataFrame:
-    """Adds strict_error, lenient_error and error_code (400 for a strict error, else null)."""
+    """Adds strict_error, lenient_error and error_code (that of the strict error; null for valid rows)."""
     out = df.withColumn("strict_error", strict_verdict(F.col(code), F.col(language))).withColumn("lenient_error", lenient_verdict(F.col(code), F.col(language)))
-    return out.withColumn("error_code", F.when(F.col("strict_error").isNotNull(), 400))
+    kind = F.when(F.col("strict_error") == "unsupported language", "unsupported language").when(F.col("strict_error").isNotNull(), "validation")
+    return out.withColumn("error_code", status_code(kind))
+
+
+# Status code of each kind of error; any other error is an internal one.
+STATUS_CODES = {"invalid code": 400, "unsupported language": 400, "validation": 400, "analysis": 500}
+
+
+def status_code(kind: Column) -> Column:
+    """Status code of a kind of error: null for none, 500 for kinds that are not listed."""
+    return F.when(kind.isNotNull(), F.coalesce(*[F.when(kind == k, v) for k, v in STATUS_CODES.items()], F.lit(500)))
 
 
 @F.pandas_udf(T.BooleanType())

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from marquetry.functions import labels as L
 from marquetry.functions import text as X
 from marquetry.operators import activity, catalogue, clones, dml, extensions, matching, metrics, references, similarity, validate
+from marquetry.sources.files import extension
+from marquetry.sources.jsoncols import as_json, exploded
 from marquetry.sources.tables import one_per_id, table
 
 #: "Now" of the time-dependent queries.
@@ -22,7 +24,13 @@ def _now(at: str = NOW):
 
 
 def _code(spark: SparkSession, d: str) -> DataFrame:
-    return one_per_id(table(spark, d, "analyses").select("id", "language", "code"))
+    """Rows as delivered: measure first, then take one per id, so that no text is exchanged."""
+    return table(spark, d, "analyses").select("id", "language", "code")
+
+
+def _measured(spark: SparkSession, d: str) -> DataFrame:
+    """One row per analysis with the metrics of its code."""
+    return one_per_id(metrics.document_metrics(_code(spark, d), "code", F.col("language")).drop("code", "language"))
 
 
 def _results(spark: SparkSession, d: str) -> DataFrame:
@@ -37,13 +45,11 @@ def q01_duplicate_lines(spark, d):
 
 
 def q02_complexity(spark, d):
-    out = metrics.document_metrics(_code(spark, d), "code", F.col("language"))
-    return out.select("id", "cyclomatic_complexity")
+    return _measured(spark, d).select("id", "cyclomatic_complexity")
 
 
 def q03_maintainability(spark, d):
-    out = metrics.document_metrics(_code(spark, d), "code", F.col("language"))
-    return out.select("id", "clone_percentage", "maintainability_index")
+    return _measured(spark, d).select("id", "clone_percentage", "maintainability_index")
 
 
 def q04_clone_pairs(spark, d):
@@ -51,12 +57,12 @@ def q04_clone_pairs(spark, d):
 
 
 def q05_suggestions(spark, d):
-    out = metrics.suggestions(metrics.document_metrics(_code(spark, d), "code", F.col("language")))
+    out = metrics.suggestions(_measured(spark, d))
     return out.select("id", "refactoring_type", F.col("priority").cast("bigint").alias("priority"))
 
 
 def q06_class_histogram(spark, d):
-    return metrics.class_histogram(metrics.document_metrics(_code(spark, d), "code", F.col("language")))
+    return metrics.class_histogram(_measured(spark, d))
 
 
 def q07_line_count(spark, d):
@@ -168,15 +174,26 @@ def q24_contacts(spark, d):
 
 
 def q25_verdicts(spark, d):
-    a = one_per_id(table(spark, d, "analyses").select("id", "language", "code"))
-    return validate.with_verdicts(a, "code", "language").select("id", "strict_error", "lenient_error")
+    return one_per_id(validate.with_verdicts(_code(spark, d), "code", "language").select("id", "strict_error", "lenient_error", F.col("error_code").cast("bigint").alias("error_code")))
 
 
 def q26_file_listing(spark, d):
+    f = _files(spark, d)
+    at = F.col("created_at")
+    return f.select(
+        "id", "name", L.size_label(F.col("size")).alias("size_label"), L.day_label(at).alias("day_label"), L.day_label(at, "long_day").alias("long_day"), L.day_label(at, "moment").alias("moment"), L.iso_label(at).alias("iso"),
+        L.kind_label(F.col("kind")).alias("kind_label"), L.kind_icon(F.col("kind")).alias("icon"), L.kind_label(L.file_kind(extension(F.col("name")))).alias("by_name"),
+    )
+
+
+def _files(spark, d):
     f = one_per_id(table(spark, d, "uploaded_files").select("id", "name", "size", "file_type", "created_at"))
-    f = f.withColumn("kind", F.lower(X.trimmed(F.col("file_type")))).withColumn("section", F.lit("none"))
-    out = catalogue.filter_files(f, "LAB", "python", "all")
-    return out.select("id", "name", L.size_label(F.col("size")).alias("size_label"), L.day_label(F.col("created_at")).alias("day_label"), L.kind_label(F.col("kind")).alias("kind_label"))
+    return f.withColumn("kind", F.lower(X.trimmed(F.col("file_type")))).withColumn("section", F.date_format("created_at", "yyyy-MM"))
+
+
+def q26_file_search(spark, d):
+    """The three conditions of the file list at once; months stand for sections."""
+    return catalogue.filter_files(_files(spark, d), "LAB", "java", "2024-03").select("id", "name", "section")
 
 
 def q27_html_escape(spark, d):
@@ -184,7 +201,7 @@ def q27_html_escape(spark, d):
 
 
 def q28_token_counts(spark, d):
-    return metrics.token_counts(_code(spark, d), "code", F.col("language")).select("id", "numbers", "calls", "keywords", "comment_lines")
+    return one_per_id(metrics.token_counts(_code(spark, d), "code", F.col("language")).select("id", "numbers", "calls", "keywords", "comment_lines"))
 
 
 def q29_insert(spark, d):
@@ -218,19 +235,19 @@ def q31_json_fields(spark, d):
     from marquetry.sources.jsoncols import parsed
 
     a = one_per_id(table(spark, d, "analyses").select("id", "clones_json"))
-    return a.select("id", F.size(parsed(F.col("clones_json"), "activity")).cast("bigint").alias("elements"))
+    clones_ = parsed(F.col("clones_json"), "clones")
+    return a.select("id", F.size(clones_).cast("bigint").alias("elements"), F.get(clones_, F.lit(0))["clone_type"].cast("bigint").alias("first_type"))
 
 
 def q32_simple_syntax(spark, d):
-    a = one_per_id(table(spark, d, "analyses").select("id", "language", "code"))
-    return a.select("id", validate.simple_syntax(F.col("code"), F.col("language")).alias("parses"))
+    return one_per_id(_code(spark, d).select("id", validate.simple_syntax(F.col("code"), F.col("language")).alias("parses")))
 
 
 def q33_text_labels(spark, d):
     f = one_per_id(table(spark, d, "uploaded_files").select("id", "name"))
     n = F.coalesce("name", F.lit(""))
     return f.select(
-        "id", X.base_name(n).alias("base"), X.stem_words(n).alias("stem"), F.lower(F.element_at(F.split(n, r"\.", -1), -1)).alias("ext"),
+        "id", X.base_name(n).alias("base"), X.stem_words(n).alias("stem"), extension(n).alias("ext"),
         X.capitalised(X.base_name(n)).alias("title"), X.without_blanks(X.stem_words(n)).alias("tight"), X.url_component(n).alias("url"),
     )
 
@@ -273,7 +290,7 @@ def q40_section_by_id_or_name(spark, d):
 
 
 def q41_renamed_clones(spark, d):
-    return extensions.renamed_clones(_code(spark, d), "id", "code")
+    return one_per_id(extensions.renamed_clones(_code(spark, d), "id", "code"))
 
 
 def q42_metric_changes(spark, d):
@@ -282,10 +299,126 @@ def q42_metric_changes(spark, d):
 
 
 def q43_top_suggestions(spark, d):
-    s = metrics.suggestions(metrics.document_metrics(_code(spark, d), "code", F.col("language")))
+    s = metrics.suggestions(_measured(spark, d))
     return extensions.ranked_by_impact(s, "duplicate_lines", 20).select("id", "refactoring_type", F.col("impact_rank").cast("bigint").alias("impact_rank"))
 
 
+def q44_file_totals(spark, d):
+    return catalogue.totals(_files(spark, d), "size", "kind")
+
+
+def q44_member_totals(spark, d):
+    return catalogue.total_children(_sections(spark, d), "students")
+
+
+def q44_overall_mean(spark, d):
+    return catalogue.overall_mean(_results(spark, d), "clone_percentage", "mean_clone")
+
+
+def _sections(spark, d):
+    """Sections by normalised key, with their students nested."""
+    se = one_per_id(table(spark, d, "sections").select("id", "name", "instructor_id")).withColumn("key", references.normal_key(F.col("id")))
+    st = one_per_id(table(spark, d, "students").select("id", "name", "email", "section_id")).withColumn("section_key", references.normal_key(F.col("section_id")))
+    return catalogue.nested_children(se, st, "key", "section_key", ["id", "name", "email"], "students")
+
+
+def _users(spark, d):
+    return one_per_id(table(spark, d, "users").select("id", "username", "role"))
+
+
+def _first_user(spark, d, role: str):
+    return _users(spark, d).filter(F.col("role") == role).agg(F.min("id")).scalar()
+
+
+def q45_gated_users(spark, d):
+    """What the first admin and the first student get to see: all users but themselves, and nothing."""
+    u = _users(spark, d)
+    seen = lambda role, roles: catalogue.allowed(catalogue.others(u, "id", _first_user(spark, d, role)), u, _first_user(spark, d, role), roles).select(F.lit(role).alias("asked_by"), "id", "username")
+    return seen("admin", ("admin",)).unionByName(seen("student", ("admin", "instructor")))
+
+
+def q46_section_files(spark, d):
+    """Files matched to the people of the section that the uploader teaches (the first by id), and to all people where there is none."""
+    s = _sections(spark, d)
+    p = matching.section_people(s.select("key", "students")).select(F.col("id").alias("person_id"), "name", "email", F.col("key").alias("group_key"), F.col("id").alias("pos"))
+    taught = s.select(references.normal_key(F.col("instructor_id")).alias("teacher"), "id", "key").filter("teacher is not null").groupBy("teacher").agg(F.min_by("key", "id").alias("group_key"))
+    f = one_per_id(table(spark, d, "uploaded_files").select("id", "name", "user_id")).withColumn("teacher", references.normal_key(F.col("user_id")))
+    f = f.join(taught, "teacher", "left").select(F.col("id").alias("file_id"), F.col("name").alias("file_name"), "group_key")
+    return matching.match_files_to_people(f, p).select("file_id", "group_key", "person_id")
+
+
+def q47_descriptions(spark, d):
+    a = one_per_id(table(spark, d, "analyses").select("id", "language", "clone_percentage"))
+    percent = X.number_text(F.col("clone_percentage"))
+    return a.select("id", activity.described("code", F.col("language"), percent).alias("code"), activity.described("mock", F.col("language"), percent).alias("mock"), activity.described("file", F.col("language"), F.substring("id", 1, 8), percent).alias("file"))
+
+
+def q47_batch_descriptions(spark, d):
+    f = one_per_id(table(spark, d, "uploaded_files").select("id", "name", "size", "file_type"))
+    return f.select("id", activity.described("batch", F.col("name"), F.col("size").cast("string"), activity.in_section(F.nullif(F.lower(X.trimmed(F.col("file_type"))), F.lit("zip")))).alias("description"))
+
+
+def q48_hex_colours(spark, d):
+    u = one_per_id(table(spark, d, "users").select("id", "username"))
+    return u.select("id", X.is_hex_colour(F.concat(F.lit(" #"), F.substring("id", 1, 6))).alias("six"), X.is_hex_colour(F.concat(F.lit("#"), F.substring("id", 1, 7))).alias("seven"), X.is_hex_colour(F.concat(F.lit("#"), "username")).alias("name"))
+
+
+def q49_first_users(spark, d):
+    return catalogue.first_by(_users(spark, d), "id").select("id", "username")
+
+
+def q50_owned_delete(spark, d):
+    """Requests for all Java files by their owners, and for all Python files by the first owner alone."""
+    f = one_per_id(table(spark, d, "uploaded_files").select("id", "user_id", "file_type")).withColumn("kind", F.lower(X.trimmed(F.col("file_type"))))
+    asked = f.filter("kind = 'java'").select("id", "user_id").unionByName(f.filter("kind = 'python'").select("id", f.agg(F.min("user_id")).scalar().alias("user_id")))
+    return dml.delete_owned(f, asked, "id", "user_id").select("id", "kind")
+
+
+def q51_prepended(spark, d):
+    old = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
+    new = table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"))
+    return dml.prepend(old, new, "batch", 1).select("key", "name", F.col("batch").cast("bigint").alias("batch"))
+
+
+def q52_string_literals(spark, d):
+    found = metrics.string_literals(F.coalesce("code", F.lit("")))
+    return one_per_id(_code(spark, d).select("id", F.size(found).cast("bigint").alias("literals"), F.md5(F.array_join(found, "\n")).alias("literals_md5")))
+
+
+def q53_first_lines(spark, d):
+    lines = X.line_count(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.md5(X.first_lines(F.col("text"))).alias("first_md5"), X.repeated_lines(F.lit("# line"), lines).alias("repeated"))
+
+
+def q54_member_labels(spark, d):
+    s = _sections(spark, d).select("id", F.size("students").alias("n"))
+    return s.select("id", F.concat(F.col("n").cast("string"), F.lit(" student"), X.plural(F.col("n"))).alias("label"))
+
+
+def q55_default_suggestions(spark, d):
+    lines = table(spark, d, "documents").select("doc_id", X.line_count(F.col("text")).alias("lines_of_code"))
+    return metrics.default_suggestion(lines).select("doc_id", "refactoring_type", F.col("priority").cast("bigint").alias("priority"))
+
+
+def q56_json_rows(spark, d):
+    return one_per_id(table(spark, d, "users").select("id", "username", "full_name", "role")).select("id", as_json("id", "username", "full_name", "role").alias("row"))
+
+
+def q57_changed_element(spark, d):
+    """One customer's name changed inside the nested lists of all nations."""
+    n, c = table(spark, d, "nation").select("n_nationkey", "n_name"), table(spark, d, "customer").select("c_nationkey", "c_custkey", "c_name")
+    out = catalogue.nested_children(n, c, "n_nationkey", "c_nationkey", ["c_custkey", "c_name"], "members")
+    changed = dml.update_in_array("members", lambda m: m["c_custkey"] == 7, lambda m: m.withField("c_name", F.lit("CHANGED")))
+    return out.select("n_name", F.array_join(F.transform(changed, lambda m: m["c_name"]), ",").alias("members"))
+
+
+def q58_flattened(spark, d):
+    """Sections with their students as JSON text and back: one row per student and place in the list."""
+    s = _sections(spark, d).select("id", F.to_json(F.struct(F.array(F.struct("id", "name", F.col("instructor_id").alias("instructor"), "students")).alias("a"))).alias("j"))
+    rows = exploded(s.select(F.col("id").alias("section"), F.get_json_object("j", "$.a").alias("sections")), "sections", "saved_sections")
+    return rows.select("section", F.posexplode("item_students").alias("at", "m")).select("section", F.col("at").cast("bigint").alias("at"), F.col("m.name").alias("name"), F.col("m.email").alias("email"))
+
+
 def p2_states(spark: SparkSession, d: str) -> DataFrame:
     """State of every reference of analyses, students and sections (see references.reference_states)."""
     t = lambda n: table(spark, d, n)

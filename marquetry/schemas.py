@@ -19,11 +19,10 @@ JSON_RELATIONS = {
     "student_results": "array<struct<fileName:string,studentName:string,studentEmail:string,clonePercentage:double,complexity:double,maintainability:double,date:string,section:string>>",
     "saved_sections": "array<struct<id:string,name:string,instructor:string,students:array<struct<name:string,email:string,submissions:int>>>>",
     "activity": "array<struct<id:string,type:string,icon:string,description:string,time:string,status:string>>",
+    "clones": "array<struct<clone_type:int,similarity:double,locations:array<struct<start_line:int,end_line:int>>>>",
     "messages": "array<struct<`from`:string,text:string,ts:bigint>>",
 }
 
-CLONE = "struct<clone_type:int,similarity:double,locations:array<struct<start_line:int,end_line:int>>>"
-
 
 def schema(name: str) -> T.StructType:
     """StructType of a persistent relation; KeyError for unknown names."""

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import io
+import lzma
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,7 +42,7 @@ def _unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         ext = item.filename.rsplit(".", 1)[-1].lower()
                         if not item.is_dir() and ext in MEMBER_LANGUAGES:
                             rows.append((path, item.filename, ext, MEMBER_LANGUAGES[ext], z.read(item).decode("utf-8", "replace"), None))
-            except (zipfile.BadZipFile, RuntimeError, NotImplementedError) as e:
+            except (zipfile.BadZipFile, zlib.error, lzma.LZMAError, struct.error, EOFError, RuntimeError, ValueError, OSError) as e:
                 rows.append((path, None, None, None, None, type(e).__name__))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=names)
@@ -48,7 +51,7 @@ def _unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def zip_members(archives: DataFrame) -> DataFrame:
     """Members of ZIP archives given as (path, content binary): directories and other extensions are skipped.
 
-    A broken, empty or null archive gives one row with `error` set and no name.
+    A broken, empty or null archive gives one row with `error` set and no name, behind the members that could still be read.
     """
     return archives.select("path", "content").mapInArrow(_unzip, ZIP_SCHEMA)
 

@@ -22,5 +22,5 @@ def exploded(df: DataFrame, column: str, relation: str) -> DataFrame:
 
 
 def as_json(*columns: str) -> Column:
-    """A row's columns as one JSON object."""
-    return F.to_json(F.struct(*columns))
+    """A row's columns as one JSON object, nulls included."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,7 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def one_per_id(df: DataFrame, key: str = "id") -> DataFrame:
     """Repeated deliveries of a row become one row.
 
-    Rows that share the key are one record. Null keys are kept as they are collapsed into one row as well.
-    Use it on narrow projections: the shuffle carries every column of df.
+    Rows that share the key are one record: the least of them, column by column, stays, whatever the order of delivery. Null
+    keys share one row as well. Use it on narrow projections: the shuffle carries every column of df.
     """
-    return df.dropDuplicates([key])
+    rest = [c for c in df.columns if c != key]
+    if not rest:
+        return df.distinct()
+    return df.groupBy(key).agg(F.min(F.struct(*rest)).alias("_r")).select(*[F.col(f"_r.{c}").alias(c) if c != key else F.col(c) for c in df.columns])
