@@ -64,8 +64,8 @@ def p8_ids(spark, d):
     return tokenize.encoded(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), ["doc_id"], "text")
 
 
-def _mix(spark, d):
-    return mixing.Mix(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "source"), spark.read.parquet(f"{d}/mix_targets.parquet"))
+def _mix(spark, d, tempered=False):
+    return mixing.Mix(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "source"), spark.read.parquet(f"{d}/mix_targets.parquet"), tempered=tempered)
 
 
 def p9_mix(spark, d):
@@ -76,6 +76,14 @@ def p9_shares(spark, d):
     return _mix(spark, d).shares()
 
 
+def p9_tempered(spark, d):
+    return _mix(spark, d, tempered=True).chosen()
+
+
+def p9_tempered_shares(spark, d):
+    return _mix(spark, d, tempered=True).shares()
+
+
 def _quality(spark, d):
     t = lambda n: spark.read.parquet(f"{d}/{n}.parquet")
     return quality.judged(t("documents").select("doc_id", "text"), t("common_words"), t("doc_labels"))

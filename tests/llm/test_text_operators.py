@@ -131,6 +131,35 @@ def test_mixture(spark):
     assert empty.chosen().collect() == [] and empty.shares().count() == 4
 
 
+def test_tempered_weights():
+    s = [mixing.Source("a", 0.5, 3, 1000, 10), mixing.Source("b", 0.3, 3, 90, 3), mixing.Source("c", 0.2, 3, 0, 0), mixing.Source("d", 0.0, 3, 50, 2)]
+    h = mixing.entropy([0.625, 0.375])
+    x, total, w = mixing.tempered_weights(s, 500)
+    assert 0 < x < 1 and total == 500 and abs(mixing.entropy(list(w.values())) - h) < 1e-6 and abs(w["a"] / w["b"] - (1000 / 90) ** x) < 1e-6
+    near, total, w = mixing.tempered_weights(s, 1090)  # b can't be repeated as often as that entropy asks
+    assert x < near < 1 and abs(w["b"] * total - 270) < 1e-3
+    assert mixing.tempered_weights(s, 1e9)[1] == 3270 and mixing.tempered_weights([], 5) == (1.0, 0.0, {})
+    peaked = [mixing.Source("a", 0.99, 2, 100, 1), mixing.Source("b", 0.01, 2, 90, 1)]
+    x, _, w = mixing.tempered_weights(peaked, 100)
+    assert x > 1 and abs(w["a"] * 100 - min(200, 99)) < 1
+
+
+@pytest.mark.parametrize("tempered,block", [(False, 1), (True, 1), (True, 20)])
+def test_mixtures_meet_their_weights(spark, tempered, block):
+    r = random.Random(6)
+    docs = [(i, " ".join(r.choice(["tree", "house"]) for _ in range(r.randint(1, 9))), r.choice(["a", "a", "a", "b", "c" if i % 5 == 0 else "a"])) for i in range(1500)]
+    targets = spark.createDataFrame([("a", 0.4, 1), ("b", 0.3, 2), ("c", 0.3, 4)], "source string, target_share double, max_repeats int")
+    m = mixing.Mix(spark.createDataFrame(docs, "doc_id bigint, text string, source string"), targets, block=block, tempered=tempered)
+    got = m.chosen().collect()
+    most = {"a": 1, "b": 2, "c": 4}
+    assert len({x.doc_id for x in got}) == len(got) and all(1 <= x.repeats <= most[x.source] for x in got)
+    used = {s: sum(x.tokens * x.repeats for x in got if x.source == s) for s in most}
+    for s in most:
+        assert abs(used[s] - m.total * m.weights[s]) <= 9, s  # within one document
+    shares = {x.source: x.actual_share for x in m.shares().collect()}
+    assert all(abs(shares[s] - m.weights[s]) < 0.01 for s in most)
+
+
 PEOPLE = [
     ("1", "Kilor K. Barenurfleheim", "kilor.barenurfleheim@campus.example"), ("2", "Barenurfleheim, Kilor", ""), ("3", "kilro barenurfleheim (late)", "kbarenurfleheim7@mail.example"), ("4", "Kery Barenurfleheim", "kerkel.barenurfleheim@x.example"), ("5", "K. Barenurfleheim", "none@campus.example"),
     ("6", "Dr. Kily Barénurfleeheim", "s00ab@campus.example"), ("7", "K. Barenurfleheim", "kerkel.barenurfleheim@x.example"), ("8", "Masolmane Firmalelbalmore", "-"), ("9", "M. FIRMALELBALMORE", None), ("10", None, "a@b"), ("11", " ", "a@b"), (None, "Kilor Barenurfleheim", ""), ("8", "Masolmane Firmalelbalmore", "-"), ("12", "Kilor Tolbusoranmark", "barenurfleheim@inbox.example"),
