@@ -4,7 +4,10 @@ Canonical bytes of a text are a tag and 16 bytes: 's' with the digest of its seq
 sorted fields (texts of type text that consist of named fields only). They are counted by recursive radix partitioning: a
 bucket is a prefix of the bytes; a bucket that holds too many entries is split by its next byte until it fits or holds one
 key only; then one task counts the bucket in a trie with terminal counters. Entries are combined before they travel, so the
-copies of one text, however many, reach the trie as one entry per batch of rows.
+copies of one text, however many, reach the trie as one entry per batch of rows. Prefixes stay in tables: the driver sees none.
+
+Two records are copies if they share a key of either kind, and a class is what is connected by copies: word keys that a field key
+holds together are one class.
 """
 
 from __future__ import annotations
@@ -15,12 +18,13 @@ from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marquetry.llm.components import components
 from marquetry.llm.kernels import Words, text_chunks
 from marquetry.llm.records import TEXT_KIND
-from marquetry.session import cut
+from marquetry.session import written
 
 #: Entries that one trie may hold.
 BUCKET_ENTRIES = 200_000
@@ -83,49 +87,63 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, kinds, texts = (c.to_pylist() for c in b.columns)
         keep = [i for i, t in enumerate(texts) if t is not None and t.strip() and ids[i] is not None]
         ids, kinds, texts = ([x[i] for i in keep] for x in (ids, kinds, texts))
-        rows: list[tuple[str, bytes, bool]] = []
+        rows: list[tuple[str, bytes, bytes | None]] = []
         for a, z in text_chunks(texts):
             for i, digest in zip(range(a, z), Words(texts[a:z]).sequence_digests()):
                 f = field_key(texts[i]) if kinds[i] == TEXT_KIND else None
-                rows.append((ids[i], b"s" + digest, f is None))
-                if f:
-                    rows.append((ids[i], f, True))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.bool_())], names=["id", "key", "main"])
+                rows.append((ids[i], b"s" + digest, f))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["id", "word_key", "field_key"])
 
 
-def canonical_keys(df: DataFrame) -> DataFrame:
-    """id, key, main of each record: its word key, and its field key where it has one; main is the key it is counted under.
+def both_keys(df: DataFrame) -> DataFrame:
+    """id, word_key, field_key (null where the text has none) of each record; df: id, kind, text.
 
-    df: id, kind, text. Null ids and blank texts are left out; a text without any word has the key of the empty sequence.
-    Repeated rows of an id become one. Extra columns are ignored.
+    Null ids and blank texts are left out; a text without any word has the key of the empty sequence. Repeated rows of an id
+    become one (should their texts differ, the one of least keys). Extra columns are ignored.
     """
-    return df.select("id", "kind", "text").mapInArrow(_keys, "id string, key binary, main boolean").dropDuplicates(["id", "key"])
+    keys = df.select("id", "kind", "text").mapInArrow(_keys, "id string, word_key binary, field_key binary")
+    return keys.groupBy("id").agg(F.min(F.struct("word_key", "field_key")).alias("k")).select("id", "k.word_key", "k.field_key")
 
 
-def radix_buckets(keys: DataFrame, entries: int = BUCKET_ENTRIES) -> dict[bytes, int]:
-    """Prefix -> entries of the buckets that recursive splitting gives; every key has exactly one of its prefixes in it.
+def listed(both: DataFrame) -> DataFrame:
+    """id, key: one row for each key of a record."""
+    return both.select("id", F.explode(F.array_compact(F.array("word_key", "field_key"))).alias("key"))
+
+
+def canonical_keys(df: DataFrame) -> DataFrame:
+    """id, key of each record: its word key, and its field key where it has one (see both_keys)."""
+    return listed(both_keys(df))
+
+
+def _prefix(depth: int) -> Column:
+    return F.substring("key", 1, depth)
 
-    Each level is one pass over the narrow key table that counts the next byte under the oversized prefixes only. What comes
-    to the driver is at most 256 counts per oversized bucket, that is 256 * rows / entries in all, whatever the skew.
-    """
-    done: dict[bytes, int] = {}
-    open_: list[bytes] = [b""]
-    depth = 0
-    spark = keys.sparkSession
-    while open_ and depth < KEY_BYTES:
-        depth += 1
-        part = keys
-        if open_ != [b""]:
-            part = keys.join(F.broadcast(spark.createDataFrame([(bytearray(p),) for p in open_], "p binary")), F.substring("key", 1, depth - 1) == F.col("p"), "left_semi")
-        level = part.groupBy(F.substring("key", 1, depth).alias("p")).agg(F.count("*").alias("n"), (F.min("key") == F.max("key")).alias("single")).collect()
-        open_ = []
-        for r in level:
-            p = bytes(r.p)
-            if r.n <= entries or r.single or depth == KEY_BYTES:
-                done[p] = r.n
-            else:
-                open_.append(p)
-    return done
+
+def radix_levels(keys: DataFrame, entries: int = BUCKET_ENTRIES) -> list[DataFrame]:
+    """Prefixes that recursive splitting gives, one table (p, n, split) a level: buckets with their entries, and those that hold
+    too many and are split on the next level. Every key has exactly one prefix that is a bucket.
+
+    Each level is one pass over the narrow key table that counts the next byte under the oversized prefixes only. The tables
+    stay in the shared folder; the driver learns only whether a level has a split."""
+    levels: list[DataFrame] = []
+    part = keys
+    for depth in range(1, KEY_BYTES + 1):
+        fits = (F.count("*") <= entries) | (F.min("key") == F.max("key")) | F.lit(depth == KEY_BYTES)
+        levels.append(written(part.groupBy(_prefix(depth).alias("p")).agg(F.count("*").alias("n"), (~fits).alias("split"))))
+        open_ = levels[-1].filter("split")
+        if open_.isEmpty():
+            break
+        part = keys.join(open_.select("p"), _prefix(depth) == F.col("p"), "left_semi")
+    return levels
+
+
+def with_buckets(keys: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """keys with `bucket`, the prefix that is theirs."""
+    out = keys.withColumn("bucket", _prefix(1))
+    for depth, level in enumerate(levels[:-1], 1):
+        split = level.filter("split").select(F.col("p").alias(f"_p{depth}"))
+        out = out.join(split, _prefix(depth) == F.col(f"_p{depth}"), "left").withColumn("bucket", F.when(F.col(f"_p{depth}").isNotNull(), _prefix(depth + 1)).otherwise(F.col("bucket"))).drop(f"_p{depth}")
+    return out
 
 
 class Trie:
@@ -159,26 +177,21 @@ class Trie:
             stack += [(at + label, child) for label, child in node[0].values()]
 
 
-def _to_buckets(number: dict[bytes, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    lengths = sorted({len(p) for p in number})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seen: dict[bytes, list] = {}
-            for i, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                e = seen.setdefault(k, [0, i])
-                e[0] += 1
-                e[1] = min(e[1], i)
-            at = [next(number[k[:n]] for n in lengths if k[:n] in number) for k in seen]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(at, pa.int32()), pa.array(list(seen), pa.binary()), pa.array([e[0] for e in seen.values()], pa.int64()), pa.array([e[1] for e in seen.values()], pa.string())], names=["bucket", "key", "n", "id"]
-            )
-
-    return run
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per batch one entry for each key: bucket, key, rows, least id."""
+    for b in batches:
+        seen: dict[tuple[bytes, bytes], list] = {}
+        for i, k, at in zip(*(c.to_pylist() for c in b.columns)):
+            e = seen.setdefault((at, k), [0, i])
+            e[0] += 1
+            e[1] = min(e[1], i)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([at for at, _ in seen], pa.binary()), pa.array([k for _, k in seen], pa.binary()), pa.array([e[0] for e in seen.values()], pa.int64()), pa.array([e[1] for e in seen.values()], pa.string())], names=["bucket", "key", "n", "id"]
+        )
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tries: dict[int, Trie] = {}
+    tries: dict[bytes, Trie] = {}
     for b in batches:
         for bucket, k, n, i in zip(*(c.to_pylist() for c in b.columns)):
             tries.setdefault(bucket, Trie()).add(k, n, i)
@@ -188,14 +201,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def count_keys(keys: DataFrame, entries: int = BUCKET_ENTRIES) -> DataFrame:
-    """key, copies, first_id of the rows (id, key): radix buckets, then tries. keys is read once per level: give a cut table."""
-    buckets = {p: i for i, p in enumerate(sorted(radix_buckets(keys, entries)))}
-    if not buckets:
-        return keys.select("key", F.lit(0).cast("bigint").alias("copies"), F.col("id").alias("first_id")).limit(0)
-    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(parts, len(buckets) // 64)
-    sent = keys.select("id", "key").mapInArrow(_to_buckets(buckets), "bucket int, key binary, n bigint, id string")
-    return sent.repartitionById(parts, F.pmod("bucket", F.lit(parts)).cast("int")).mapInArrow(_count, "key binary, copies bigint, first_id string")
+    """key, copies, first_id of the rows (id, key): radix buckets, then tries. keys is read once per level: give a written table."""
+    keys = keys.select("id", "key")
+    parts = max(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), keys.count() // entries)
+    sent = with_buckets(keys, radix_levels(keys, entries)).mapInArrow(_combined, "bucket binary, key binary, n bigint, id string")
+    return sent.repartitionById(parts, F.pmod(F.xxhash64("bucket"), F.lit(parts)).cast("int")).mapInArrow(_count, "key binary, copies bigint, first_id string")
 
 
 def group_pairs(members: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
@@ -209,13 +219,22 @@ def group_pairs(members: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
 
 def same_text_pairs(df: DataFrame, entries: int = BUCKET_ENTRIES) -> DataFrame:
     """id_a, id_b: all pairs of records with equal word key or equal field key."""
-    keys = cut(canonical_keys(df))
+    keys = written(canonical_keys(df))
     repeated = count_keys(keys, entries).filter("copies > 1").select(F.col("key").alias("k"), "copies")
     members = keys.join(repeated, F.col("key") == F.col("k")).select("key", "id", "copies")
     return group_pairs(members).distinct()
 
 
 def collapsed(df: DataFrame, entries: int = BUCKET_ENTRIES) -> DataFrame:
-    """One row per different text: record_id (the least id of its copies), copies."""
-    keys = cut(canonical_keys(df))
-    return count_keys(keys.filter("main"), entries).select(F.col("first_id").alias("record_id"), "copies")
+    """One row per class of copies: record_id (the least id of the class), copies. A class is a component of same_text_pairs.
+
+    Records are counted by word key; classes of word keys that field keys connect are then added up, so no pair is formed."""
+    both = written(both_keys(df))
+    counted = count_keys(both.select("id", F.col("word_key").alias("key")), entries)
+    edges = both.filter("field_key is not null").select(F.hex("word_key").alias("a"), F.hex("field_key").alias("b")).distinct()
+    # a field key whose word key nobody else shares through another field key connects nothing
+    able = edges.join(edges.groupBy("b").agg(F.count("*").alias("n")).filter("n > 1").select("b"), "b", "left_semi")
+    able = written(able.select("a", "b"))
+    comp = components(able.select(F.col("a").alias("node")).unionByName(able.select(F.col("b").alias("node"))), able)
+    out = counted.join(comp, F.hex("key") == F.col("node"), "left")
+    return out.groupBy(F.coalesce("component", F.hex("key")).alias("c")).agg(F.min("first_id").alias("record_id"), F.sum("copies").alias("copies")).select("record_id", "copies")

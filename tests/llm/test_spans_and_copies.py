@@ -101,13 +101,34 @@ def test_copies_equal_brute_force(spark):
     want = set(itertools.combinations([f"f{i}" for i in range(6)], 2)) | {("a", "b"), ("p", "q"), ("code", "f0")}
     assert got == sorted(want)
     done = {r.record_id: r.copies for r in copies.collapsed(table(spark, rows), entries=2).collect()}
-    assert done == {"f0": 6, "f9": 1, "code": 1, "a": 2, "c": 1, "p": 2}
+    assert done == {"code": 7, "f9": 1, "a": 2, "c": 1, "p": 2}
     assert copies.same_text_pairs(table(spark, [])).collect() == [] and copies.collapsed(table(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_classes_are_components_of_the_pairs(spark, seed):
+    r = random.Random(seed)
+    rows = [("x1", "text", "a: 1\nb: 2"), ("x2", "a", "a 1 b 2"), ("x3", "text", "a 1, b 2"), ("x4", "text", "b = 2\na = 1")]
+    for i in range(60):
+        fields = [f"{k}: {r.randint(1, 2)}" for k in ("key", "owner", "points")[: r.randint(2, 3)]]
+        r.shuffle(fields)
+        rows.append((f"r{i:02}", r.choice(["text", "text", "a"]), r.choice(["\n", "; "]).join(fields)))
+    df = table(spark, rows)
+    root = {i: i for i, _, _ in rows}
+    pairs = [tuple(p) for p in copies.same_text_pairs(df).collect()]
+    for _ in rows:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    want = {k: list(root.values()).count(k) for k in root.values()}
+    assert {x.record_id: x.copies for x in copies.collapsed(df, entries=3).collect()} == want and want["x1"] == 4
+
+
 def test_radix_splits_until_it_fits(spark):
     keys = spark.createDataFrame([(f"i{i}", bytearray(b"sAAA" + bytes([i % 7]) + b"x" * 12)) for i in range(70)] + [(f"h{i}", bytearray(b"sB" + b"y" * 15)) for i in range(50)], "id string, key binary")
-    buckets = copies.radix_buckets(keys, 20)
+    levels = copies.radix_levels(keys, 20)
+    buckets = {bytes(x.p): x.n for level in levels for x in level.collect() if not x.split}
+    got = copies.with_buckets(keys, levels).groupBy("bucket").count().collect()
+    assert {bytes(x.bucket): x["count"] for x in got} == buckets
     assert buckets[b"sB"] == 50 and all(n <= 20 or p == b"sB" for p, n in buckets.items()) and sum(buckets.values()) == 120
     assert sorted(r.copies for r in copies.count_keys(keys, 20).collect()) == [10] * 7 + [50]
 
