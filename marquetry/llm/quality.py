@@ -9,10 +9,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquetry.session import cut
+from marquetry.session import written
 
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _LINE_END = re.compile("\r\n|[\r\n\v\f\x85\u2028\u2029]")
@@ -212,7 +213,9 @@ def _rows(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _gathered(figures: DataFrame, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray | None:
-    """Sum over all rows of a matrix computed from blocks of rows; added up in the tasks, then in SLOTS tasks, then here."""
+    """Sum over all rows of a matrix computed from blocks of rows; added up in the tasks, then in SLOTS tasks, then here.
+
+    Always in order of the partitions, so the same table gives the same bits, whichever task ends first."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -222,21 +225,19 @@ def _gathered(figures: DataFrame, of: Callable[[np.ndarray], np.ndarray]) -> np.
                 s = of(x)
                 total = s if total is None else total + s
         if total is not None:
-            import os
-
-            yield pa.RecordBatch.from_arrays([pa.array([os.getpid() % SLOTS], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slot", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "s"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total, first = None, None
         for b in batches:
-            for s in b.column("s").to_pylist():
+            for at, s in zip(b.column("part").to_pylist(), b.column("s").to_pylist()):
                 v = np.frombuffer(s)
-                total = v if total is None else total + v
+                total, first = (v, at) if total is None else (total + v, first)
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
+            yield pa.RecordBatch.from_arrays([pa.array([first], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "s"])
 
-    parts = figures.mapInArrow(part, "slot int, s binary").repartition(SLOTS, "slot").mapInArrow(add, "s binary").collect()
-    return sum(np.frombuffer(bytes(r.s)) for r in parts) if parts else None
+    parts = figures.mapInArrow(part, "part int, s binary").repartition(SLOTS, F.pmod("part", F.lit(SLOTS))).sortWithinPartitions("part").mapInArrow(add, "part int, s binary").collect()
+    return sum(np.frombuffer(bytes(r.s)) for r in sorted(parts)) if parts else None
 
 
 def fitted(figures: DataFrame, labels: DataFrame, rounds: int = ROUNDS, examples: int = EXAMPLES) -> Mixture | None:
@@ -277,8 +278,8 @@ def classified(figures: DataFrame, model: Mixture | None) -> DataFrame:
 
 
 def judged(documents: DataFrame, common_words: DataFrame, labels: DataFrame) -> DataFrame:
-    """classified for a table of documents; the figures are computed once and cut."""
-    figures = cut(document_figures(documents, common_words))
+    """classified for a table of documents; the figures are computed once and written to the shared folder."""
+    figures = written(document_figures(documents, common_words))
     return classified(figures, fitted(figures, labels))
 
 

@@ -5,7 +5,8 @@ windows of all texts are decided exactly, without an index of all positions:
 
 1. Winnowing. Each window names as its anchor the k-gram of least hash inside it. Equal windows have equal anchors, and the
    windows of one anchor are neighbours, so a text of n characters has about 2n/(length-k) anchors. Only anchors travel,
-   as (anchor hash, region hash, record hash) in packed blocks; a region is the text that an anchor's windows cover.
+   one entry for each anchor hash of a pack (its regions' and records' hashes, or their ranges where there are several), in packed
+   blocks; a region is the text that an anchor's windows cover.
 2. Per anchor hash: seen in one record only - its windows match nothing. All regions equal - all its windows are shared.
    Else undecided. The verdict goes back to the packs that asked.
 3. Packs recompute their anchors, mark what is decided, and send the text of undecided regions to the anchor's bucket, where
@@ -109,13 +110,34 @@ def _send_anchors(buckets: int, length: int, gram: int) -> Callable[[pa.Table],
             h.append(a.hash), r.append(a.region), who.append(d[number[a.doc]])
         h, r, who = map(np.concatenate, (h, r, who))
         keep = _combined(h, r, who)
-        h, r, who = h[keep], r[keep], who[keep]
-        out = [(b, np.stack([h[x], r[x], who[x]]).tobytes()) for b, x in _split(h, buckets)]
+        out = [(b, x) for b, x in _summaries(h[keep], r[keep], who[keep], buckets)]
         return pa.table({"bucket": pa.array([b for b, _ in out], pa.int32()), "pack": pa.array([pack] * len(out), pa.int32()), "payload": pa.array([p for _, p in out], pa.binary())})
 
     return run
 
 
+def _summaries(h: np.ndarray, r: np.ndarray, who: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """Per bucket what a pack says of its anchors (h sorted): of those in one place only hash, region and record; of the others
+    the range of regions and of records and the number of entries. However many regions a pack has for an anchor, it sends one entry."""
+    if not len(h):
+        return
+    _, first, last = _groups(h)
+    n = last - first + 1
+    low_r, high_r = np.minimum.reduceat(r, first), np.maximum.reduceat(r, first)
+    low_d, high_d = np.minimum.reduceat(who, first), np.maximum.reduceat(who, first)
+    h = h[first]
+    for b, x in _split(h, buckets):
+        one, more = x[n[x] == 1], x[n[x] > 1]
+        yield b, len(one).to_bytes(8, "little") + np.stack([h[one], low_r[one], low_d[one]]).tobytes() + np.stack([h[more], low_r[more], high_r[more], low_d[more], high_d[more], n[more].astype(U)]).tobytes()
+
+
+def _read_summaries(data: bytes) -> np.ndarray:
+    """Rows: hash, least and greatest region, least and greatest record, entries."""
+    k = int.from_bytes(data[:8], "little")
+    one, more = np.frombuffer(data, U, 3 * k, 8).reshape(3, k), np.frombuffer(data, U, offset=8 + 24 * k).reshape(6, -1)
+    return np.concatenate([np.stack([one[0], one[1], one[1], one[2], one[2], np.ones(k, U)]), more], 1)
+
+
 def _groups(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of sorted h: group of each entry, first and last entry of each group."""
     new = np.concatenate([[True], h[1:] != h[:-1]])
@@ -130,18 +152,18 @@ def _decide(hot: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
         parts, packs = [], []
         for b in batches:
             for pack, payload in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                parts.append(np.frombuffer(payload, U).reshape(3, -1))
+                parts.append(_read_summaries(payload))
                 packs.append(np.full(parts[-1].shape[1], pack, np.int32))
         if not parts:
             return
-        (h, r, d), pack = np.concatenate(parts, 1), np.concatenate(packs)
+        rows, pack = np.concatenate(parts, 1), np.concatenate(packs)
         del parts
-        o = np.argsort(h, kind="stable")
-        h, r, d, pack = h[o], r[o], d[o], pack[o]
+        o = np.argsort(rows[0], kind="stable")
+        (h, low_r, high_r, low_d, high_d, n), pack = rows[:, o], pack[o]
         group, first, last = _groups(h)
-        spread = np.maximum.reduceat(d, first) != np.minimum.reduceat(d, first)
-        alike = np.maximum.reduceat(r, first) == np.minimum.reduceat(r, first)
-        verdict = np.where(spread, np.where(alike, 1, np.where(last - first >= hot, 3, 2)), 0).astype(np.uint8)[group]
+        spread = np.maximum.reduceat(high_d, first) != np.minimum.reduceat(low_d, first)
+        alike = np.maximum.reduceat(high_r, first) == np.minimum.reduceat(low_r, first)
+        verdict = np.where(spread, np.where(alike, 1, np.where(np.add.reduceat(n, first) > hot, 3, 2)), 0).astype(np.uint8)[group]
         keep = verdict > 0
         h, pack, verdict = h[keep], pack[keep], verdict[keep]
         o = np.lexsort((h, pack))

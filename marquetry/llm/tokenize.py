@@ -17,14 +17,15 @@ from itertools import chain
 
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.json"
 # Fixed value: how byte-level vocabularies of this kind split text into words.
 WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Words that a worker remembers, none of more than LONG_WORD characters; longer ones are replayed whenever they occur.
 CACHE_WORDS = 400_000
+LONG_WORD = 64
 
 
 def _byte_symbols() -> dict[str, int]:
@@ -118,9 +119,10 @@ class Replay:
         if len(self.words) + len(missing) > CACHE_WORDS:
             self.words.clear()
             missing = list(dict.fromkeys(w for ws in split for w in ws))
-        self.words.update(zip(missing, self.replay(missing)))
+        fresh = dict(zip(missing, self.replay(missing)))
         known = self.words
-        return [list(chain.from_iterable([known[w] for w in ws])) for ws in split]
+        known.update((w, ids) for w, ids in fresh.items() if len(w) <= LONG_WORD)
+        return [list(chain.from_iterable([known.get(w) or fresh[w] for w in ws])) for ws in split]
 
 
 _PATTERN = regex.compile(WORDS)
@@ -172,9 +174,3 @@ def encoded(df: DataFrame, keep: list[str], text: str, tokenizers: str = TOKENIZ
 def token_counts(df: DataFrame, keep: list[str], text: str, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """The kept columns and `tokens` (bigint), the number of ids of encoded; the ids never leave the worker."""
     return df.select(*keep, text).mapInArrow(_encode(os.path.join(tokenizers, vocabulary), True), _ddl(df, keep) + ", tokens bigint")
-
-
-def id_statistics(ids: DataFrame, column: str = "ids") -> DataFrame:
-    """One row: documents, empty, tokens, longest."""
-    n: Column = F.size(column)
-    return ids.agg(F.count("*").alias("documents"), F.count_if(n == 0).alias("empty"), F.sum(n).alias("tokens"), F.max(n).alias("longest"))
