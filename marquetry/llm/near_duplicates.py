@@ -311,6 +311,11 @@ def _verify(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return run
 
 
+def verified(pairs: DataFrame, threshold: float) -> DataFrame:
+    """g_a, g_b, similarity of pairs (g_a, g_b, set_a, set_b: 64-bit triples, packed) that reach the threshold."""
+    return pairs.select("g_a", "g_b", "set_a", "set_b").mapInArrow(_verify(threshold), "g_a bigint, g_b bigint, similarity double")
+
+
 class SetJoin:
     """The self join of df (id, text): `members` (id, g, size, sequence digest), and `links` (g_a, g_b, similarity) between different sets.
 
@@ -335,7 +340,7 @@ class SetJoin:
         a = self.sets.select(F.col("g").alias("g_a"), F.col("payload").alias("set_a"))
         b = self.sets.select(F.col("g").alias("g_b"), F.col("payload").alias("set_b"))
         # a pair from a cell may also have met elsewhere, so what is verified becomes distinct last
-        self.links = self.met.join(a, "g_a").join(b, "g_b").select("g_a", "g_b", "set_a", "set_b").mapInArrow(_verify(threshold), "g_a bigint, g_b bigint, similarity double").distinct()
+        self.links = verified(self.met.join(a, "g_a").join(b, "g_b"), threshold).distinct()
 
 
 def near_pairs(df: DataFrame, rows: int, threshold: float = THRESHOLD, block: int = PAIR_BLOCK, hot: int = HOT_LIST) -> DataFrame:

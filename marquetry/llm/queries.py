@@ -111,4 +111,4 @@ def p7_people(spark, d):
 
 
 def p5_found(spark, d):
-    return history.seen_before(rec.records(spark, d, uploads_only=True), rec.row_count(spark, d, "uploaded_files"))
+    return history.seen_before(rec.records(spark, d, uploads_only=True))

@@ -217,9 +217,12 @@ def test_batches_against_history(spark, tmp_path):
     months = ["2024-01-05", "2024-02-05", "2024-02-25", "2024-03-01", None]
     dated = [(i, "text" if i and i.startswith("c3") else "a", t, f"{months[sum(map(ord, i or ''))% 5]} 10:00:00" if months[sum(map(ord, i or '')) % 5] else None) for i, _, t in rows]
     dated += [("f1", "text", FIELDS[0], "2024-01-09 00:00:00"), ("f2", "text", FIELDS[2], "2024-03-09 00:00:00")]
+    dated.append(("f1", "text", FIELDS[0], "2024-02-09 00:00:00"))  # delivered again in another month: counts in the first only
     r.shuffle(dated)
     df = spark.createDataFrame(dated, "id string, kind string, text string, at string").selectExpr("id", "kind", "text", "cast(at as timestamp_ntz) as created_at")
-    bulk = {x.file_id for x in history.seen_before(df, 60).collect()}
+    bulk = {x.file_id for x in history.seen_before(df).collect()}
+    dated.remove(("f1", "text", FIELDS[0], "2024-02-09 00:00:00"))
+    df = df.filter("not (id = 'f1' and month(created_at) = 2)")
     month = {i: (at or "")[:7] for i, _, _, at in dated if i and at}
     code = [(i, k, t) for i, k, t, at in dated if k != "text" and at]
     pairs = brute_near(code, 0.6) | {("f1", "f2")} | {(min(a, b), max(a, b)) for (a, k, t, x), (b, l, u, y) in itertools.combinations(dated, 2) if a and b and a != b and x and y and t and u and t.strip() and u.strip() and WORD.findall(t.casefold()) == WORD.findall(u.casefold())}
