@@ -208,13 +208,16 @@ def count_keys(keys: DataFrame, entries: int = BUCKET_ENTRIES) -> DataFrame:
     return sent.repartitionById(parts, F.pmod(F.xxhash64("bucket"), F.lit(parts)).cast("int")).mapInArrow(_count, "key binary, copies bigint, first_id string")
 
 
-def group_pairs(members: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
-    """All pairs id_a < id_b of rows (key, id, copies) of equal key. A group of more than `block` members is salted: each salt
-    holds a part of its members on one side and all of them on the other, so the pairs of a hot group spread over many tasks."""
+def group_pairs(members: DataFrame, block: int = PAIR_BLOCK, differ: str | None = None) -> DataFrame:
+    """All pairs id_a < id_b of rows (key, id, copies) of equal key, with `differ` only those of different values in that column. A
+    group of more than `block` members is salted: each salt holds a part of its members on one side and all of them on the other, so
+    the pairs of a hot group spread over many tasks."""
     salts = F.greatest(F.lit(1), F.ceil(F.col("copies") / block)).cast("int")
-    a = members.select("key", F.col("id").alias("id_a"), F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"))
-    b = members.select(F.col("key").alias("k"), F.col("id").alias("id_b"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("s"))
-    return a.join(b, (F.col("key") == F.col("k")) & (F.col("salt") == F.col("s")) & (F.col("id_a") < F.col("id_b"))).select("id_a", "id_b")
+    value = F.col(differ) if differ else F.lit(None).cast("string")
+    a = members.select("key", F.col("id").alias("id_a"), value.alias("v_a"), F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"))
+    b = members.select(F.col("key").alias("k"), F.col("id").alias("id_b"), value.alias("v_b"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("s"))
+    test = (F.col("key") == F.col("k")) & (F.col("salt") == F.col("s")) & (F.col("id_a") < F.col("id_b"))
+    return a.join(b, test & (F.col("v_a") != F.col("v_b")) if differ else test).select("id_a", "id_b")
 
 
 def same_text_pairs(df: DataFrame, entries: int = BUCKET_ENTRIES) -> DataFrame:

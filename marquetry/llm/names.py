@@ -24,11 +24,10 @@ from hashlib import blake2b
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from marquetry.llm.components import components
 from marquetry.llm.copies import group_pairs
-from marquetry.session import cut
+from marquetry.session import written
 
 # Words before or behind a name that are no part of it.
 TITLES = frozenset("mr mrs ms miss mx dr prof professor sir madam herr frau jr sr ii iii phd msc bsc".split())
@@ -37,6 +36,8 @@ SOUNDS = {c: s for s, cs in {"p": "pb", "f": "fvw", "k": "ckqx", "g": "gj", "s":
 #: Least Jaro-Winkler similarity of family names two edits apart (one edit is enough alone from 7 letters on), and of given names.
 CLOSE = 0.85
 GIVEN_CLOSE = 0.78
+#: Blocks of sounds with more tokens than this are not walked; the blocks of letters hold their close pairs.
+HOT_SOUNDS = 1_000
 #: So many different partners, and three times those of the other token, make a token a given name.
 PARTNERS = 5
 
@@ -206,9 +207,24 @@ def _close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64())], names=["a", "b", "s"])
 
 
-@F.udf(T.ArrayType(T.LongType()), useArrow=True)
-def _key_list(token):
-    return block_keys(token)
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of tokens their block keys: token, k, and whether it is a key of sounds."""
+    for b in batches:
+        tokens, keys, sounds = [], [], []
+        for t in b.column(0).to_pylist():
+            n, mine = len(codes(t)), block_keys(t)
+            tokens += [t] * len(mine)
+            keys += mine
+            sounds += [True] * n + [False] * (len(mine) - n)
+        yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array(keys, pa.int64()), pa.array(sounds, pa.bool_())], names=["token", "k", "sound"])
+
+
+def blocks(tokens: DataFrame, hot: int = HOT_SOUNDS) -> DataFrame:
+    """token, k: the blocks of different tokens (one column). A block of sounds that holds more than `hot` tokens is left out:
+    sounds say little there, and every close pair has a block of shortened tokens, which by their letters can't be large."""
+    keyed = tokens.select(F.col(tokens.columns[0]).alias("token")).mapInArrow(_keyed, "token string, k bigint, sound boolean")
+    many = keyed.filter("sound").groupBy(F.col("k").alias("h")).agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("h", F.lit(True).alias("s"))
+    return keyed.join(many, (F.col("k") == F.col("h")) & (F.col("sound") == F.col("s")), "left_anti").select("token", "k")
 
 
 def families(spellings: DataFrame) -> DataFrame:
@@ -221,12 +237,12 @@ def families(spellings: DataFrame) -> DataFrame:
     sure = s.filter("confirmed is not null").select(F.col("confirmed").alias("sure")).distinct()
     said = s.filter("confirmed is not null").groupBy("typed").agg(F.max_by("confirmed", F.struct("n", "confirmed")).alias("said"))
     typed = s.select("typed").distinct().join(sure, F.col("typed") == F.col("sure"), "left").join(said, "typed", "left")
-    typed = cut(typed.select("typed", F.coalesce("sure", "said").alias("known")))
+    typed = written(typed.select("typed", F.coalesce("sure", "said").alias("known")))
     loose = typed.filter("known is null").select("typed")
-    keyed = lambda df, c: df.select(F.col(c), F.explode(_key_list(F.col(c))).alias(f"k_{c}"))
+    keyed = lambda df, c: blocks(df).toDF(c, f"k_{c}")
     to_sure = keyed(loose, "typed").join(keyed(sure, "sure"), F.col("k_typed") == F.col("k_sure")).select("typed", "sure").distinct()
     best = to_sure.mapInArrow(_close_pairs, "a string, b string, s double").groupBy("a").agg(F.max_by("b", F.struct("s", "b")).alias("best"))
-    typed = cut(typed.join(best, F.col("typed") == F.col("a"), "left").select("typed", F.coalesce("known", "best").alias("known")))
+    typed = written(typed.join(best, F.col("typed") == F.col("a"), "left").select("typed", F.coalesce("known", "best").alias("known")))
     rest = typed.filter("known is null").select("typed")
     one, two = keyed(rest, "typed"), keyed(rest.withColumnRenamed("typed", "other"), "other")
     edges = one.join(two, (F.col("k_typed") == F.col("k_other")) & (F.col("typed") < F.col("other"))).select("typed", "other").distinct().mapInArrow(_close_pairs, "a string, b string, s double")
@@ -237,7 +253,34 @@ def families(spellings: DataFrame) -> DataFrame:
 _FORM = ["family", "given", "initials", "address_given"]
 
 
-def _named(rows: list[dict], nick: dict[str, str], full: set[str], near: Callable, near_full: Callable, near_nick: Callable) -> None:
+class Close:
+    """Given names by their forms with up to two letters left out: the closest one to a token, without a walk over all."""
+
+    def __init__(self, names: Iterator[str] | set[str] | dict[str, str] = ()) -> None:
+        self.index: dict[str, set[str]] = {}
+        for n in names:
+            self.add(n)
+
+    @staticmethod
+    def forms(t: str) -> set[str]:
+        out = {t}
+        for _ in range(1 if len(t) < 5 else 2):
+            out |= {x[:i] + x[i + 1 :] for x in out for i in range(len(x))}
+        return out
+
+    def add(self, name: str) -> None:
+        for f in self.forms(name):
+            self.index.setdefault(f, set()).add(name)
+
+    def nearest(self, t: str) -> str | None:
+        """The name of highest similarity within one edit (two where both have five letters), the greatest of equal ones."""
+        some = set().union(*(self.index[f] for f in self.forms(t) if f in self.index))
+        s = [(jaro_winkler(t, o), o) for o in some if edits(t, o, 2) <= (1 if min(len(t), len(o)) < 5 else 2)]
+        s = [x for x in s if x[0] >= GIVEN_CLOSE]
+        return max(s)[1] if s else None
+
+
+def _named(rows: list[dict], nick: dict[str, str], near_full: Callable, near_nick: Callable) -> None:
     """Sets `person` of a family's rows (given, initials, address_given, n; each combination once); None: nobody fits alone."""
     # 1. given names that are certain: by table, or said by the address beside a fitting name
     certain: set[str] = set()
@@ -251,19 +294,34 @@ def _named(rows: list[dict], nick: dict[str, str], full: set[str], near: Callabl
         if r["person"]:
             certain.add(r["person"])
     # 2. typed otherwise: close to one that is certain here, then to the table, else a name of its own (most used first)
+    close, shorts = Close(certain), Close(k for k, v in nick.items() if v in certain)
+    full_of: dict[str, list[str]] = {}
+    for k, v in nick.items():
+        full_of.setdefault(v, []).append(k)
     for r in sorted((r for r in rows if r["given"] and not r["person"]), key=lambda r: (-r["n"], r["given"])):
         g = r["given"]
-        short = near(g, [k for k, v in nick.items() if v in certain])
-        r["person"] = near(g, certain) or (nick[short] if short else None) or near_full(g) or near_nick(g) or g
-        certain.add(r["person"])
+        short = shorts.nearest(g)
+        r["person"] = close.nearest(g) or (nick[short] if short else None) or near_full(g) or near_nick(g) or g
+        if r["person"] not in certain:
+            certain.add(r["person"])
+            close.add(r["person"])
+            for k in full_of.get(r["person"], ()):
+                shorts.add(k)
     # 3. initials: the one person of the family they fit
+    starting: dict[str, list[str]] = {}
+    for p in sorted(certain):
+        starting.setdefault(p[0], []).append(p)
+    second: dict[str, set[str]] = {}
+    for o in rows:
+        if o["given"] and o["initials"]:
+            second.setdefault(o["initials"][0], set()).add(o["person"])
     for r in rows:
         if not r["person"]:
             i = r["initials"][:1]
-            fit = sorted(p for p in certain if p[0] == i)
+            fit = starting.get(i, []) if i else []
             if len(fit) > 1 and len(r["initials"]) > 1:
-                by = {o["person"] for o in rows if o["person"] in fit and o["given"] and o["initials"][:1] == r["initials"][1:2]}
-                fit = sorted(by) if len(by) == 1 else fit
+                by = [p for p in fit if p in second.get(r["initials"][1], ())]
+                fit = by if len(by) == 1 else fit
             if len(fit) == 1:
                 r["person"] = fit[0]
             elif i and not fit:
@@ -273,19 +331,14 @@ def _named(rows: list[dict], nick: dict[str, str], full: set[str], near: Callabl
 
 
 def _given_names(nick: dict[str, str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    full = set(nick.values())
-
-    def near(t: str, options) -> str | None:
-        s = [(jaro_winkler(t, o), o) for o in options if edits(t, o, 2) <= (1 if min(len(t), len(o)) < 5 else 2)]
-        s = [x for x in s if x[0] >= GIVEN_CLOSE]
-        return max(s)[1] if s else None
+    full, short = Close(set(nick.values())), Close(nick)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near_full = lru_cache(100_000)(lambda t: near(t, full))
-        near_nick = lru_cache(100_000)(lambda t: nick.get(near(t, nick)))
+        near_full = lru_cache(100_000)(full.nearest)
+        near_nick = lru_cache(100_000)(lambda t: nick.get(short.nearest(t)))
 
         def done(rows: list[dict]) -> pa.RecordBatch:
-            _named(rows, nick, full, near, near_full, near_nick)
+            _named(rows, nick, near_full, near_nick)
             return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.string()) for c in [*_FORM, "person"]], names=[*_FORM, "person"])
 
         held: list[dict] = []  # a family may go on in the next batch
@@ -310,15 +363,15 @@ def people(entries: DataFrame, nicknames: DataFrame) -> DataFrame:
     nick = {plain(r.short_form).strip(): plain(r.given_name).strip() for r in nicknames.select("given_name", "short_form").na.drop().orderBy("short_form", "given_name").collect()}
     nick = {g: g for g in nick.values()} | nick
     e = entries.select("id", "name", "email").filter(F.col("id").isNotNull() & F.col("name").rlike(r"\S")).dropDuplicates(["id"])
-    parsed = cut(e.mapInArrow(_parse, _PARSED))
+    parsed = written(e.mapInArrow(_parse, _PARSED))
     # how many different partners a token has: given names have many, family names few
     both = parsed.filter("last is not null").select("first", "last").distinct()
     partners = both.unionByName(both.select(F.col("last").alias("first"), F.col("first").alias("last"))).distinct().groupBy("first").agg(F.count("*").alias("n"))
     forms = parsed.join(partners.select(F.col("first").alias("t1"), F.col("n").alias("n_first")), F.col("first") == F.col("t1"), "left").join(partners.select(F.col("first").alias("t2"), F.col("n").alias("n_last")), F.col("last") == F.col("t2"), "left")
     forms = forms.select("id", "name", "first", "last", "comma", "initials", "family", "given", F.coalesce("n_first", F.lit(0)), F.coalesce("n_last", F.lit(0)))
-    roles = cut(forms.mapInArrow(_roles(nick), "id string, name string, typed string, confirmed string, given string, initials string, address_given string"))
+    roles = written(forms.mapInArrow(_roles(nick), "id string, name string, typed string, confirmed string, given string, initials string, address_given string"))
     fam = families(roles.select("typed", "confirmed"))
-    known = cut(roles.join(fam, "typed").select("id", "name", F.coalesce("confirmed", "family").alias("family"), "given", "initials", "address_given"))
+    known = written(roles.join(fam, "typed").select("id", "name", F.coalesce("confirmed", "family").alias("family"), "given", "initials", "address_given"))
     shapes = known.groupBy("family", "given", "initials", "address_given").agg(F.count("*").alias("n"))
     # sorted by family and streamed: a family's distinct forms are together, and the number of tasks is fixed, not by bytes
     parts = 4 * int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -329,9 +382,7 @@ def people(entries: DataFrame, nicknames: DataFrame) -> DataFrame:
 
 def variant_pairs(entries: DataFrame, nicknames: DataFrame) -> DataFrame:
     """id_a, id_b: all pairs of entries that mean one person under names that are not equal strings."""
-    p = people(entries, nicknames).filter("person is not null").withColumn("key", F.concat_ws("|", "family", "person"))
-    n = p.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("copies"), F.count_distinct("name").alias("names")).filter("names > 1")
+    p = written(people(entries, nicknames).filter("person is not null").select(F.concat_ws("|", "family", "person").alias("key"), "id", "name"))
+    n = p.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("copies"), F.min("name").alias("low"), F.max("name").alias("high")).filter("low <> high")
     members = p.join(n, F.col("key") == F.col("k")).select("key", "id", "copies", "name")
-    a, b = members.select(F.col("id").alias("x"), F.col("name").alias("name_a")), members.select(F.col("id").alias("y"), F.col("name").alias("name_b"))
-    pairs = group_pairs(members)
-    return pairs.join(a, F.col("id_a") == F.col("x")).join(b, F.col("id_b") == F.col("y")).filter("name_a <> name_b").select("id_a", "id_b")
+    return group_pairs(members, differ="name")
