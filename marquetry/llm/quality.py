@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,14 +42,23 @@ def statistics(text: str, common: dict[str, set[str]]) -> list[float]:
     words = _WORD.findall(text)
     low = [w.lower() for w in words]
     counts = Counter(text)
-    solid = n - sum(v for c, v in counts.items() if c.isspace())
-    letters = sum(v for c, v in counts.items() if c.isalpha())
-    digits = sum(v for c, v in counts.items() if c.isdigit())
+    space = letters = digits = upper = 0
+    for c, v in counts.items():
+        if c.isalpha():
+            letters += v
+            upper += v if c.isupper() else 0
+        elif c.isspace():
+            space += v
+        elif c.isdigit():
+            digits += v
+        elif c.isupper():
+            upper += v
+    solid = n - space
     symbols = solid - letters - digits
     plain_marks = sum(counts[c] for c in ".,;:!?'\"()-’“”«»¿¡…")
     nw, nl = max(1, len(words)), len(lines)
     seen = Counter(low)
-    share = max((sum(seen[w] for w in ws) for ws in common.values()), default=0) / nw
+    share = max((sum(map(seen.__getitem__, ws & seen.keys())) for ws in common.values()), default=0) / nw
     wide = [len(x.strip()) for x in lines]
     per = [len(_WORD.findall(x)) for x in lines]
     cells = [[c for c in _GAP.split(x.strip().strip("|"))] for x in lines]
@@ -60,8 +70,13 @@ def statistics(text: str, common: dict[str, set[str]]) -> list[float]:
     entropy = -sum(v / n * math.log2(v / n) for v in counts.values()) if n else 0.0
     mean_line = sum(wide) / nl
     spread = math.sqrt(sum((w - mean_line) ** 2 for w in wide) / nl) / max(1.0, mean_line)
-    alpha = [w for w in low if w.isalpha()]
-    odd = sum(1 for w in alpha if len(w) > 2 and not _pronounceable(w)) / max(1, len(alpha))
+    alpha = odd = 0
+    for w, v in seen.items():
+        if w.isalpha():
+            alpha += v
+            if len(w) > 2 and not (_pronounceable if len(w) <= 32 else _pronounceable.__wrapped__)(w):  # remembered unless long
+                odd += v
+    odd /= max(1, alpha)
     commas = text.count(",") + text.count(";")
     # lines that start in lower case or with a figure and end without a sign: parts of a list without marks, not of sentences
     loose = sum(1 for x, p in zip(lines, per) if p <= 9 and not _END.search(x)) / nl
@@ -69,14 +84,15 @@ def statistics(text: str, common: dict[str, set[str]]) -> list[float]:
         math.log1p(len(words)), min(20.0, sum(map(len, words)) / nw), (symbols - plain_marks) / max(1, solid), digits / max(1, solid), sum(bool(_END.search(x)) for x in lines) / nl,
         share, sum(bool(_ITEM.match(x)) for x in lines) / nl, sum(p <= 8 for p in per) / nl, math.log1p(len(words) / nl), min(3.0, spread),
         math.log1p(sum(map(len, cells)) / nl), at / max(1, nl - rules), sum(bool(_FIGURE.match(c)) for c in flat) / max(1, len(flat)), 1 - len({x.strip() for x in lines}) / nl,
-        len(seen) / nw, math.log1p(min(200.0, len(words) / sentences)), commas / nw, len(alpha) / nw, odd, entropy,
-        sum(v for c, v in counts.items() if c.isupper()) / max(1, letters), loose,
+        len(seen) / nw, math.log1p(min(200.0, len(words) / sentences)), commas / nw, alpha / nw, odd, entropy,
+        upper / max(1, letters), loose,
     ]
 
 
 _VOWELS = set("aeiouyáàâäãåéèêëíìîïóòôöõøúùûüæœ")
 
 
+@lru_cache(1 << 16)
 def _pronounceable(word: str) -> bool:
     """Has a vowel, and no run of more than four consonants, if it is of the Latin script; other scripts pass."""
     if not word[0].isascii() and word[0] not in _VOWELS:
@@ -97,7 +113,8 @@ def _pronounceable(word: str) -> bool:
 EXAMPLES = 4_000
 #: Components started per class, if it has enough examples.
 COMPONENTS = {"prose": 10, "list": 8, "table": 6, "junk": 8}
-ROUNDS = 12
+#: Rounds of expectation-maximization at most, and the gain in log-likelihood a document below which they end.
+ROUNDS, LEAST_GAIN = 12, 0.02
 #: Variance added to every standardised figure, and weight (in documents) of the pooled covariance in each component's.
 RIDGE, POOL = 0.02, 20.0
 
@@ -107,23 +124,32 @@ class Mixture:
 
     def __init__(self, weight: np.ndarray, mean: np.ndarray, cov: np.ndarray, center: np.ndarray, scale: np.ndarray, names: np.ndarray | None = None) -> None:
         self.weight, self.mean, self.cov, self.center, self.scale, self.names = weight, mean, cov, center, scale, names
-        self.root = [np.linalg.cholesky(c) for c in cov]
-        self.log = np.log(np.maximum(weight, 1e-12)) - np.array([np.log(np.diag(r)).sum() for r in self.root])
+        roots = [np.linalg.cholesky(c) for c in cov]
+        self.whiten = [np.linalg.inv(r) for r in roots]
+        self.log = np.log(np.maximum(weight, 1e-12)) - np.array([np.log(np.diag(r)).sum() for r in roots])
 
     def standard(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.center) / self.scale, -8, 8)
 
+    def _weighed(self, z: np.ndarray) -> tuple[np.ndarray, float]:
+        ll = np.stack([lg - 0.5 * ((w @ (z - m).T) ** 2).sum(0) for lg, m, w in zip(self.log, self.mean, self.whiten)], 1)
+        top = ll.max(1, keepdims=True)
+        p = np.exp(ll - top)
+        total = p.sum(1, keepdims=True)
+        return p / total, float((top + np.log(total)).sum())
+
     def posterior(self, z: np.ndarray) -> np.ndarray:
-        ll = np.stack([lg - 0.5 * (np.linalg.solve(r, (z - m).T) ** 2).sum(0) for lg, m, r in zip(self.log, self.mean, self.root)], 1)
-        ll -= ll.max(1, keepdims=True)
-        p = np.exp(ll)
-        return p / p.sum(1, keepdims=True)
+        return self._weighed(z)[0]
 
     def sums(self, x: np.ndarray) -> np.ndarray:
-        """Sufficient statistics of the rows, one row per component: n, sums, sums of products."""
+        """Sufficient statistics of the rows, one row per component: n, sums, sums of products; in the last row the log-likelihood."""
         z = self.standard(x)
-        p = self.posterior(z)
-        return np.concatenate([p.sum(0)[:, None], p.T @ z, np.einsum("nk,ni,nj->kij", p, z, z, optimize=True).reshape(p.shape[1], -1)], 1)
+        p, ll = self._weighed(z)
+        products = np.stack([((z * p[:, [k]]).T @ z).ravel() for k in range(p.shape[1])])
+        out = np.concatenate([p.sum(0)[:, None], p.T @ z, products], 1)
+        last = np.zeros((1, out.shape[1]))
+        last[0, 0] = ll
+        return np.concatenate([out, last])
 
     def stepped(self, sums: np.ndarray) -> Mixture:
         d = len(self.center)
@@ -255,9 +281,14 @@ def fitted(figures: DataFrame, labels: DataFrame, rounds: int = ROUNDS, examples
     scale = np.maximum(np.sqrt(np.maximum(total[1 + _D :] / n - center**2, 0)), 1e-3)
     x, y = np.array([r.x for r in known]), np.array([CLASSES.index(r.label) for r in known])
     model = started(np.clip((x - center) / scale, -8, 8), y, center, scale)
+    before = None
     for _ in range(rounds):
-        k = len(model.names)
-        model = model.stepped(_gathered(figures, lambda v, m=model: m.sums(v).ravel()).reshape(k, -1))
+        sums = _gathered(figures, lambda v, m=model: m.sums(v).ravel()).reshape(len(model.names) + 1, -1)
+        model = model.stepped(sums[:-1])
+        likelihood = sums[-1, 0] / n
+        if before is not None and likelihood - before < LEAST_GAIN:
+            break
+        before = likelihood
     return named(model, x, y)
 
 
