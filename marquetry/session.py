@@ -57,13 +57,13 @@ def written(df: DataFrame, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path.toString())
 
 
-def release(spark: SparkSession) -> None:
+def release(spark: SparkSession, rounds: int = 2) -> None:
     """Lets the executors delete the shuffle files of finished jobs now: Spark does so when the driver collects its garbage,
     which a driver with little to do may put off until the disks are full. Call it after a large table is `written`."""
-    for _ in range(2):  # what the first round finalises, the second one finds free
+    for left in reversed(range(rounds)):  # what the first round finalises, the second one finds free
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+        time.sleep(0.3 if left or rounds > 1 else 0)
 
 
 def partitions_for(spark: SparkSession, rows: int, rows_per_partition: int) -> int:
