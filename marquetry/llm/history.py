@@ -33,7 +33,7 @@ from marquetry.llm.copies import field_key
 from marquetry.llm.kernels import U, Words, text_chunks
 from marquetry.llm.near_duplicates import THRESHOLD, set_digest, verified
 from marquetry.llm.records import TEXT_KIND
-from marquetry.session import ensure_checkpoint_dir, written
+from marquetry.session import ensure_checkpoint_dir, release, written
 
 #: Classes of the pivot-distance table.
 CLASSES = 128
@@ -186,12 +186,8 @@ class History:
             batch = self._last[1]
         if not batch.met:
             keys, postings, old = self._read("keys", "key binary"), self._read("postings", _POSTINGS), self._read("sets", _SETS)
-            jobs = []
-            if keys is not None:
-                jobs.append(lambda: setattr(batch, "known_keys", written(keys.join(_held(batch.keys, batch.n_keys), "key", "left_semi").distinct())))
-            if postings is not None:
-                jobs.append(lambda: setattr(batch, "pairs", self._near(batch, postings, old)))
-            together(*jobs)
+            known = lambda: None if keys is None else written(keys.join(_held(batch.keys, batch.n_keys), "key", "left_semi").distinct())
+            batch.pairs, batch.known_keys = together(lambda: None if postings is None else self._near(batch, postings, old), known)
             batch.met = True
         return batch
 
@@ -245,12 +241,14 @@ def counted(df: DataFrame, *more: Column) -> tuple:
     return table, *table.agg(F.count(F.lit(1)), *more).collect()[0]
 
 
-def together(*jobs: Callable) -> list:
-    """Results of jobs that do not depend on each other, submitted at the same time."""
-    if len(jobs) < 2:
-        return [j() for j in jobs]
-    with ThreadPoolExecutor(len(jobs)) as pool:
-        return [f.result() for f in [pool.submit(j) for j in jobs]]
+_others = ThreadPoolExecutor(3)
+
+
+def together(first: Callable, *rest: Callable) -> list:
+    """Results of jobs that do not depend on each other, submitted at the same time: the first from this thread, the others from a
+    few threads that stay, as each new one would leave a connection behind."""
+    waiting = [_others.submit(j) for j in rest]
+    return [first(), *(w.result() for w in waiting)]
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +289,8 @@ def seen_before(uploads: DataFrame, threshold: float = THRESHOLD, path: str | No
         of = lambda df, m=m: df.filter(F.col("month") == m).drop("month")
         batch = Batch(of(rows), of(keys), of(sets), n_keys[m], *sizes.get(m, (0, 0)))
         hits = history.check(batch).select(F.col("id").alias("file_id"))
-        found.append(together(lambda: written(hits), lambda: history.accept(batch))[0])
+        found.append(together(lambda: history.accept(batch), lambda: written(hits))[1])
+        release(spark, 1)  # a month leaves the plans of a dozen jobs behind
     if path is None:
         p = spark._jvm.org.apache.hadoop.fs.Path(place)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
