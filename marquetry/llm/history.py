@@ -4,7 +4,8 @@ History is a folder of Parquet tables that are only appended to:
   keys      canonical key of every accepted text, once
   sets      once per different set of triples: g, size, triples, and `counts`, its row of the pivot-distance table
   postings  (triple, g, size) of the triples under which a set can be found
-  order     the most frequent triples of the first batch (at most ORDER), which fixes the order of triples for good
+  order     the most frequent triples (at most ORDER) of the first ORDER_SETS sets and the rest of their batch, which fixes the
+            order of triples for good; the sets accepted before that have all of their triples in the postings
 
 A batch is encoded once and met with history three times, each time by less: its few first triples in the fixed order with the
 postings (two sets similar enough share one of them, whatever the order); the pairs found with the pivot-distance table; what is
@@ -37,8 +38,11 @@ from marquetry.session import ensure_checkpoint_dir, release, written
 
 #: Classes of the pivot-distance table.
 CLASSES = 128
-#: Triples of the first batch that the fixed order knows; all others come before them, in order of hash. Any order is exact.
-ORDER = 200_000
+#: Sets that are accepted before the order is fixed, and triples that it knows; all others come before these, in order of hash.
+#: Any order is exact; frequent triples at its end make few candidates.
+ORDER_SETS, ORDER = 1_000, 200_000
+#: Sets of a batch whose rows of the pivot-distance table (about 270 bytes each) may be broadcast.
+BROADCAST_SETS = 20_000
 #: Rows of a batch's side of a join that may be broadcast (at most 40 bytes each); beyond it the join is a merge join.
 BROADCAST_ROWS = 1_000_000
 
@@ -176,8 +180,8 @@ class History:
             self._order = np.array([h for h, _ in rows], np.int64), np.array([n for _, n in rows], np.int64)
         return self._order
 
-    def _first(self, sets: DataFrame) -> DataFrame:
-        return sets.select("g", "size", "triples").mapInArrow(_first_triples(self.threshold, *self._fixed_order()), "h bigint, g bigint, size int")
+    def _first(self, sets: DataFrame, every: bool = False) -> DataFrame:
+        return sets.select("g", "size", "triples").mapInArrow(_first_triples(0.0 if every else self.threshold, *self._fixed_order()), "h bigint, g bigint, size int")
 
     def _met(self, batch: DataFrame | Batch) -> Batch:
         if not isinstance(batch, Batch):
@@ -197,7 +201,7 @@ class History:
         pairs, n = counted(postings.join(_held(self._first(batch.sets), batch.triples), "h").filter(near).select("g", "old").distinct())
         mine = batch.sets.select("g", "size", F.col("counts").alias("p"))
         table = old.select(F.col("g").alias("old"), F.col("size").alias("n"), F.col("counts").alias("q"))
-        both = table.join(_held(pairs.filter("g <> old"), n), "old").join(mine, "g")
+        both = table.join(_held(pairs.filter("g <> old"), n), "old").join(_held(mine, batch.n_sets, BROADCAST_SETS), "g")
         left = both.select("g", "old", "size", "n", "p", "q").mapInArrow(_pruned(self.threshold), "g bigint, old bigint")
         theirs = old.select(F.col("g").alias("old"), F.col("triples").alias("set_b")).join(_held(left, n), "old")
         both = theirs.join(batch.sets.select("g", F.col("triples").alias("set_a")), "g").select(F.col("g").alias("g_a"), F.col("old").alias("g_b"), "set_a", "set_b")
@@ -220,19 +224,21 @@ class History:
         b = self._met(batch)
         self._last = None
         new, keys = b.sets, b.keys
-        if b.n_sets and not len(self._fixed_order()[0]):
-            each = new.select("triples").mapInArrow(_exploded, "h bigint").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
-            each.orderBy(F.desc("n"), "h").limit(ORDER).write.mode("overwrite").parquet(os.path.join(self.path, "order"))
         if b.pairs is not None:
             new = new.join(b.pairs.filter("g = old").select("g"), "g", "left_anti")
         if b.known_keys is not None:
             keys = keys.join(b.known_keys, "key", "left_anti")
         together(
             lambda: self._append(keys.select("key"), "keys", b.n_keys, 4_000_000),
-            lambda: self._append(self._first(new).select("h", F.col("g").alias("old"), F.col("size").alias("n")), "postings", b.triples, 8_000_000),
+            lambda: self._append(self._first(new, self._order is None and not len(self._fixed_order()[0])).select("h", F.col("g").alias("old"), F.col("size").alias("n")), "postings", b.triples, 8_000_000),
         )
         # sets last: if the job dies before, they are taken as new again, and a repeated key or posting does no harm
         self._append(new.select("g", "size", "triples", "counts"), "sets", b.n_sets, 50_000)
+        if not len(self._fixed_order()[0]):
+            held = self._read("sets", _SETS)
+            if held.count() >= ORDER_SETS:
+                each = held.select("triples").mapInArrow(_exploded, "h bigint").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+                each.orderBy(F.desc("n"), "h").limit(ORDER).write.mode("overwrite").parquet(os.path.join(self.path, "order"))
 
 
 def counted(df: DataFrame, *more: Column) -> tuple:
@@ -256,9 +262,9 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(b.column(0).to_pylist()), np.int64))], names=["h"])
 
 
-def _held(df: DataFrame, rows: int) -> DataFrame:
-    """df for a broadcast if it has at most BROADCAST_ROWS rows (`rows` is its number or more), else as it is."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _held(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df for a broadcast if it has at most `most` rows (`rows` is its number or more), else as it is."""
+    return F.broadcast(df) if rows <= most else df
 
 
 def month(ts: Column) -> Column:

@@ -211,7 +211,9 @@ def test_near_pairs_of_nothing(spark):
     assert near_duplicates.near_pairs(table(spark, []), 0).collect() == []
 
 
-def test_batches_against_history(spark, tmp_path):
+@pytest.mark.parametrize("fixed_after", [10**9, 20, 1])
+def test_batches_against_history(spark, tmp_path, monkeypatch, fixed_after):
+    monkeypatch.setattr(history, "ORDER_SETS", fixed_after)
     rows = near_rows(4)
     r = random.Random(1)
     months = ["2024-01-05", "2024-02-05", "2024-02-25", "2024-03-01", None]
