@@ -24,6 +24,7 @@ import os
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -119,6 +120,14 @@ def _pruned(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return run
 
 
+def hits(rows: DataFrame, keys: DataFrame, sets: DataFrame, *of: str) -> DataFrame:
+    """id, same, near of encoded rows with one of the keys (key), or a set that is one of the sets (g), that history holds. Of
+    several batches, the columns `of` name a row's and its key's and set's batch."""
+    same = each_key(rows, *of).join(keys, [*of, "key"], "left_semi").select("id", F.lit(True).alias("same"), F.lit(False).alias("near"))
+    near = rows.filter("g is not null").select("id", *of, "g").join(sets, [*of, "g"], "left_semi").select("id", F.lit(False).alias("same"), F.lit(True).alias("near"))
+    return same.unionByName(near).groupBy("id").agg(F.max("same").alias("same"), F.max("near").alias("near"))
+
+
 @dataclass
 class Batch:
     """An encoded batch: its rows (id, word_key, field_key, g), its different keys and sets, and the numbers of keys, sets and
@@ -198,7 +207,8 @@ class History:
     def _near(self, batch: Batch, postings: DataFrame, old: DataFrame) -> DataFrame:
         """g, old of a batch's and history's sets that are near; equal for a set that history holds itself."""
         near = F.least("size", "n") >= F.greatest("size", "n") * self.threshold - 1e-9
-        pairs, n = counted(postings.join(_held(self._first(batch.sets), batch.triples), "h").filter(near).select("g", "old").distinct())
+        pairs = written(postings.join(_held(self._first(batch.sets), batch.triples), "h").filter(near).select("g", "old").distinct())
+        n = stored_bytes(pairs) // 12  # two hashes, which don't compress, take 16 bytes a row
         mine = batch.sets.select("g", "size", F.col("counts").alias("p"))
         table = old.select(F.col("g").alias("old"), F.col("size").alias("n"), F.col("counts").alias("q"))
         both = table.join(_held(pairs.filter("g <> old"), n), "old").join(_held(mine, batch.n_sets, BROADCAST_SETS), "g")
@@ -211,13 +221,8 @@ class History:
     def check(self, batch: DataFrame | Batch) -> DataFrame:
         """id, same, near of the batch's texts that history holds already: in the same form, in nearly the same form."""
         b = self._met(batch)
-        out = self.spark.createDataFrame([], "id string, same boolean, near boolean")
-        if b.known_keys is not None:
-            out = out.unionByName(each_key(b.rows).join(b.known_keys, "key", "left_semi").select("id", F.lit(True).alias("same"), F.lit(False).alias("near")))
-        if b.pairs is not None:
-            hit = b.rows.filter("g is not null").select("id", "g").join(b.pairs.select("g"), "g", "left_semi")
-            out = out.unionByName(hit.select("id", F.lit(False).alias("same"), F.lit(True).alias("near")))
-        return out.groupBy("id").agg(F.max("same").alias("same"), F.max("near").alias("near"))
+        some = lambda df, column, schema: self.spark.createDataFrame([], schema) if df is None else df.select(column)
+        return hits(b.rows, some(b.known_keys, "key", "key binary"), some(b.pairs, "g", "g bigint"))
 
     def accept(self, batch: DataFrame | Batch) -> None:
         """Appends the batch: of keys and sets those that history does not hold. What `check` found of the same batch is used again."""
@@ -250,6 +255,11 @@ def counted(df: DataFrame, *more: Column) -> tuple:
 _others = ThreadPoolExecutor(3)
 
 
+def stored_bytes(table: DataFrame) -> int:
+    """Bytes of the files of a written table, without a job."""
+    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def together(first: Callable, *rest: Callable) -> list:
     """Results of jobs that do not depend on each other, submitted at the same time: the first from this thread, the others from a
     few threads that stay, as each new one would leave a connection behind."""
@@ -290,17 +300,18 @@ def seen_before(uploads: DataFrame, threshold: float = THRESHOLD, path: str | No
     n_keys = {r.month: r.n for r in keys.groupBy("month").agg(F.count("*").alias("n")).collect()}
     sizes = {r.month: (r.n, r.triples) for r in sets.groupBy("month").agg(F.count("*").alias("n"), F.sum("size").alias("triples")).collect()}
     history = History(spark, place, threshold)
-    found: list[DataFrame] = []
+    known, near = [spark.createDataFrame([], "month string, key binary")], [spark.createDataFrame([], "month string, g bigint")]
     for m in sorted(n_keys):
         of = lambda df, m=m: df.filter(F.col("month") == m).drop("month")
         batch = Batch(of(rows), of(keys), of(sets), n_keys[m], *sizes.get(m, (0, 0)))
-        hits = history.check(batch).select(F.col("id").alias("file_id"))
-        found.append(together(lambda: history.accept(batch), lambda: written(hits))[1])
-        release(spark, 1)  # a month leaves the plans of a dozen jobs behind
+        history.accept(batch)  # meets it with the history before
+        if batch.known_keys is not None:
+            known.append(batch.known_keys.select(F.lit(m).alias("month"), "key"))
+        if batch.pairs is not None:
+            near.append(batch.pairs.select(F.lit(m).alias("month"), "g"))
+        release(spark, 1)  # a month leaves the plans of half a dozen jobs behind
     if path is None:
         p = spark._jvm.org.apache.hadoop.fs.Path(place)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
-    out = spark.createDataFrame([], "file_id string")
-    for f in found:
-        out = out.unionByName(f)
-    return out
+    # what each month was found to have in history is in tables, so the rows are told in one go
+    return hits(rows, reduce(DataFrame.unionByName, known), reduce(DataFrame.unionByName, near), "month").select(F.col("id").alias("file_id"))
