@@ -21,7 +21,6 @@ Frequencies, allocation and verification cover all records; nothing is sampled o
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
