@@ -19,7 +19,7 @@ from marquetry.functions.syntax import python_parses
 from marquetry.operators import activity, catalogue, dml, extensions, matching, metrics, similarity, validate
 from marquetry.plans.queries import QUERIES
 from marquetry.sources import files, jsoncols, sinks
-from marquetry.sources.tables import one_per_id
+from marquetry.sources.tables import file_bytes, one_per_id, spread
 from marquetry.streaming import feed
 
 SF = "/root/testdata/sf0.001"
@@ -207,3 +207,11 @@ def test_late_rows_of_a_stream_are_dropped_under_a_watermark(spark, tmp_path):
 def test_renamed_clones_of_equal_rows(spark):
     df = spark.createDataFrame([("1", "total = price + 1\n" * 2)] * 2, "id string, code string")
     assert [(r.clone_lines, r.exact_lines) for r in one_per_id(extensions.renamed_clones(df, "id", "code")).collect()] == [(1, 1)]
+
+
+def test_only_small_tables_are_spread(spark, tmp_path):
+    spark.range(100).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    plan = lambda size: spread(df, "id", size)._jdf.queryExecution().executedPlan().toString()
+    assert 0 < file_bytes(df) < 1 << 20 and "Exchange" in plan(file_bytes(df)) and "Exchange" not in plan(1 << 40)
+    assert spread(df, "id", 0).count() == 100
