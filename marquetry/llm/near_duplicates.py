@@ -6,15 +6,19 @@ segment of its own, and the segments to index are allocated by cost: rarest docu
 
 1. Packs send the distinct hashes of their records' triples, combined per pack, to buckets by hash; buckets return the cost
    class of each (1: this record only). A triple of class 1 costs nothing but counts against the record, so a record whose
-   own triples exceed the allowance leaves here, before anything of it is indexed.
-2. Packs index the allocated triples of the remaining sets - one entry per different set, however many records have it - and
-   store those sets once.
+   own triples exceed the allowance leaves here, before anything of it is indexed. With the triples go the digests of the
+   pack's sets, and buckets return which of them are the pack's to index: each different set is one pack's.
+2. Packs index the allocated triples of the remaining sets - one entry per different set, however many records of whatever
+   packs have it - and store those sets once.
 3. Buckets pair the sets that meet under a triple, filtered by size and by position; pairs are verified on the whole sets. A
    triple under which very many different sets meet leaves its bucket in cells - a block of its list against another - that
    tasks elsewhere pair.
 
-What travels is packed: texts as compressed blocks, hashes sent for pricing as gaps of sorted 32-bit values, index entries as 32
-bits of hash and a rank, with the set named once per bucket. A clash of 32 bits only adds a candidate, which verification drops.
+What travels is packed: texts as compressed blocks, hashes sent for pricing as compressed gaps of sorted 28-bit values, index entries
+as 32 bits of hash and a rank, with the set named once per bucket. A clash of bits only adds a candidate, which verification drops.
+Packs and buckets grow with the records so that what a pack sends to a bucket stays of use to a compressor, and each step's
+results are written, and the shuffles before them let go, before the next step begins; candidates are verified in rounds, so
+that the sets that travel with them are never much more than the sets there are.
 
 Frequencies, allocation and verification cover all records; nothing is sampled or capped.
 """
@@ -22,6 +26,7 @@ Frequencies, allocation and verification cover all records; nothing is sampled o
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +41,12 @@ from marquetry.llm.shared_spans import _groups, _split
 from marquetry.session import cut, release, written
 
 THRESHOLD = 0.6
+#: Records of a pack, packs of a task, and packs for each bucket.
+PACK_ROWS = 2_000
+PACKS_PER_TASK = 4
+PACKS_PER_BUCKET = 8
+#: The sets that travel with the candidates of a round of verification, as a multiple of all sets.
+ROUND_SETS = 1.0
 #: Entries that are paired with their partners at once: bounds the memory of a task.
 LIST_BLOCK = 4096
 #: A triple's list of more different sets than this is split into cells; at most this many blocks, larger where the list is longer.
@@ -57,15 +68,23 @@ class _Pack:
         self.doc, self.hash = np.concatenate(docs), np.concatenate(hashes)
         values, self.at, self.count = np.unique(self.hash, return_inverse=True, return_counts=True)
         self.values = values
-        self.parts = {b: x[np.argsort(_short(values[x]), kind="stable")] for b, x in _split(values, buckets)}  # bucket -> positions among the distinct hashes
+        self.parts = {b: x[np.argsort(_priced(values[x]), kind="stable")] for b, x in _split(values, buckets)}  # bucket -> positions among the distinct hashes
         self.sizes = np.bincount(self.doc, minlength=len(self.ids))
+        self.g = set_digest(self.doc, self.hash, len(self.ids))
+        self.sets = np.unique(self.g[self.sizes > 0])
+        self.set_parts = dict(_split(self.sets, buckets))  # bucket -> positions among the different sets
 
 
 def _short(h: np.ndarray) -> np.ndarray:
-    """32 bits of a hash besides the bits that choose the bucket; a chance clash only makes a triple look less rare."""
+    """32 bits of a hash besides the bits that choose the bucket."""
     return (h & U(0xFFFFFFFF)).astype(np.uint32)
 
 
+def _priced(h: np.ndarray) -> np.ndarray:
+    """28 bits of a hash besides the bits that choose the bucket; a chance clash only makes a triple look less rare."""
+    return (h & U(0xFFFFFFF)).astype(np.uint32)
+
+
 def gaps(sorted_values: np.ndarray) -> bytes:
     """Sorted 32-bit values as their differences, 3 bytes each where all differences fit, else 4; a first byte says which."""
     d = np.diff(sorted_values, prepend=np.uint32(0)).astype(np.uint32)
@@ -85,7 +104,11 @@ def from_gaps(data: bytes, n: int) -> tuple[np.ndarray, int]:
 def _send(buckets: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         p = _Pack(table, buckets)
-        out = [(b, len(x).to_bytes(4, "little") + gaps(_short(p.values[x])) + np.minimum(p.count[x], 255).astype(np.uint8).tobytes()) for b, x in p.parts.items()]
+        out, none = [], np.zeros(0, _I)
+        for b in sorted(p.parts.keys() | p.set_parts.keys()):
+            x, sets = p.parts.get(b, none), p.sets[p.set_parts.get(b, none)]
+            whole = gaps(_priced(p.values[x])) + np.minimum(p.count[x], 255).astype(np.uint8).tobytes()
+            out.append((b, np.array([len(x), len(sets), len(whole)], np.uint32).tobytes() + sets.tobytes() + pa.compress(whole, codec="zstd", asbytes=True)))
         pack = table.column("pack")[0].as_py()
         return pa.table({"bucket": pa.array([b for b, _ in out], pa.int32()), "pack": pa.array([pack] * len(out), pa.int32()), "payload": pa.array([x for _, x in out], pa.binary())})
 
@@ -93,16 +116,20 @@ def _send(buckets: int) -> Callable[[pa.Table], pa.Table]:
 
 
 def _price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cost class of every hash sent: its frequency up to 127, then by powers of two."""
-    packs, parts, counts = [], [], []
+    """For each pack the cost class of every hash sent (its frequency up to 127, then by powers of two), compressed, behind a byte
+    for every set sent: whether it is this pack's, the least that has it."""
+    packs, parts, counts, sets = [], [], [], []
     bucket = None
     for b in batches:
         for at, pack, p in zip(*(c.to_pylist() for c in b.columns)):
-            bucket, n = at, int.from_bytes(p[:4], "little")
-            values, used = from_gaps(p[4:], n)
+            n, m, size = (int(x) for x in np.frombuffer(p, np.uint32, 3))
+            whole = pa.decompress(memoryview(p)[12 + 8 * m :], decompressed_size=size, codec="zstd", asbytes=True)
+            values, used = from_gaps(whole, n)
+            bucket = at
             packs.append(pack)
             parts.append(values)
-            counts.append(np.frombuffer(p, np.uint8, n, 4 + used))
+            counts.append(np.frombuffer(whole, np.uint8, n, used))
+            sets.append(np.frombuffer(p, U, m, 12))
     if not parts:
         return
     lengths = [len(x) for x in parts]
@@ -110,9 +137,15 @@ def _price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.bincount(at, np.concatenate(counts)).astype(_I)
     cost = np.where(total < 128, total, 121 + np.log2(np.maximum(total, 1)).astype(_I)).astype(np.uint8)[at]
     cuts = np.cumsum([0, *lengths])
+    g, of = np.concatenate(sets), np.repeat(packs, [len(x) for x in sets])
+    o = np.lexsort((of, g))
+    own = np.zeros(len(g), np.uint8)
+    own[o] = np.concatenate([[True], g[o][1:] != g[o][:-1]])[: len(g)]
+    of_sets = np.cumsum([0, *map(len, sets)])
     for k in range(0, len(packs), 256):
         some = range(k, min(k + 256, len(packs)))
-        yield pa.RecordBatch.from_arrays([pa.array([packs[i] for i in some], pa.int32()), pa.array([bucket] * len(some), pa.int32()), pa.array([cost[cuts[i] : cuts[i + 1]].tobytes() for i in some], pa.binary())], names=["pack", "bucket", "payload"])
+        payload = [own[of_sets[i] : of_sets[i + 1]].tobytes() + pa.compress(cost[cuts[i] : cuts[i + 1]].tobytes(), codec="zstd", asbytes=True) for i in some]
+        yield pa.RecordBatch.from_arrays([pa.array([packs[i] for i in some], pa.int32()), pa.array([bucket] * len(some), pa.int32()), pa.array(payload, pa.binary())], names=["pack", "bucket", "payload"])
 
 
 _OUT = "kind int, bucket int, id string, g bigint, size int, payload binary"
@@ -155,11 +188,12 @@ def _index(buckets: int, threshold: float) -> Callable[[tuple, pa.Table, pa.Tabl
         rows: list[tuple] = []
         if table.num_rows:
             p = _Pack(table, buckets)
-            cost = np.ones(len(p.values), np.uint8)
+            cost, own, none = np.ones(len(p.values), np.uint8), np.zeros(len(p.sets), bool), np.zeros(0, _I)
             for b, x in zip(prices.column("bucket").to_pylist(), prices.column("payload").to_pylist()):
-                cost[p.parts[b]] = np.frombuffer(x, np.uint8)
-            cost = cost[p.at]
-            g = set_digest(p.doc, p.hash, len(p.ids)) if len(p.ids) else np.zeros(0, U)
+                values, sets = p.parts.get(b, none), p.set_parts.get(b, none)
+                own[sets] = np.frombuffer(x, np.uint8, len(sets)) > 0
+                cost[values] = np.frombuffer(pa.decompress(memoryview(x)[len(sets) :], decompressed_size=len(values), codec="zstd", asbytes=True), np.uint8)
+            cost, g = cost[p.at], p.g
             least = np.ceil(threshold * p.sizes - 1e-9).astype(_I)
             allowance = p.sizes - least + 1
             o = np.lexsort((p.hash, cost, p.doc))
@@ -173,8 +207,10 @@ def _index(buckets: int, threshold: float) -> Callable[[tuple, pa.Table, pa.Tabl
             gs = g.view(_I)
             for i in np.flatnonzero(alive):
                 rows.append((0, None, p.ids[i], int(gs[i]), int(p.sizes[i]), p.sequence[i]))
-            # one set of each kind is indexed and stored, the one of the least record
+            # one set of each kind is indexed and stored, the one of the least record of the least pack; its copies elsewhere have the
+            # same prices, so they are alive alike
             live = np.flatnonzero(alive & (p.sizes > 0))
+            live = live[own[np.searchsorted(p.sets, g[live])]]
             _, one = np.unique(g[live], return_index=True)
             first = np.zeros(len(p.ids), bool)
             first[live[one]] = True
@@ -320,26 +356,41 @@ class SetJoin:
 
     Records that can have no partner are in neither. Null ids and blank texts are ignored, repeated rows of an id are one
     record (should their texts differ, the greatest counts), texts of fewer than three words have the empty set and take no part in links. Extra columns are ignored.
-    The index is written to the shared folder once, as three results are read from it.
+    Prices, index, met pairs and links are written to the shared folder, so what a step exchanged is gone before the next one.
     """
 
     def __init__(self, df: DataFrame, rows: int, threshold: float = THRESHOLD, hot: int = HOT_LIST) -> None:
         if not 0 < threshold <= 1:
             raise ValueError("threshold must be in (0, 1]")
-        texts, packs, parts = packed(df.select("id", "text").filter("id is not null and text is not null"), rows)
-        buckets = max(parts, packs // 4)
+        spark = df.sparkSession
+        texts, packs, parts = packed(df.select("id", "text").filter("id is not null and text is not null"), rows, PACK_ROWS, PACKS_PER_TASK)
+        buckets = max(parts, packs // PACKS_PER_BUCKET)
         sent = texts.groupBy("pack").applyInArrow(_send(buckets), "bucket int, pack int, payload binary")
-        priced = sent.repartitionById(buckets, F.col("bucket")).mapInArrow(_price, "pack int, bucket int, payload binary").repartition(parts, "pack")
+        priced = written(sent.repartitionById(buckets, F.col("bucket")).mapInArrow(_price, "pack int, bucket int, payload binary"))
+        release(spark)  # what was sent; the texts are exchanged again, which costs less than to hold both
+        priced = priced.repartition(parts, "pack")
         index = written(texts.groupBy("pack").cogroup(priced.groupBy("pack")).applyInArrow(_index(buckets, threshold), _OUT), "kind")
-        release(df.sparkSession)  # texts and prices are not needed any more
+        release(spark)  # texts and prices are not needed any more
         self.members = index.filter("kind = 0").select("id", "g", "size", F.col("payload").alias("sequence"))
-        self.sets = index.filter("kind = 1").select("g", "payload").dropDuplicates(["g"])
+        self.sets = index.filter("kind = 1").select("g", "size", "payload")
         met = index.filter("kind = 2").repartitionById(buckets, F.col("bucket")).select("payload").mapInArrow(_meet(threshold, hot), _MET).distinct()
-        self.met = met.mapInArrow(_open_cells(threshold), "g_a bigint, g_b bigint")
-        a = self.sets.select(F.col("g").alias("g_a"), F.col("payload").alias("set_a"))
-        b = self.sets.select(F.col("g").alias("g_b"), F.col("payload").alias("set_b"))
-        # a pair from a cell may also have met elsewhere, so what is verified becomes distinct last
-        self.links = verified(self.met.join(a, "g_a").join(b, "g_b"), threshold).distinct()
+        # a pair from a cell may also have met elsewhere
+        self.met = written(met.mapInArrow(_open_cells(threshold), "g_a bigint, g_b bigint").distinct())
+        release(spark)
+        self.links = self._verified(threshold)
+
+    def _verified(self, threshold: float) -> DataFrame:
+        """The pairs of met that reach the threshold. A pair takes its first set along, so many pairs are verified in several rounds."""
+        spark = self.met.sparkSession
+        n, triples = self.sets.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).collect()[0]
+        rounds = max(1, -int(-self.met.count() // (ROUND_SETS * max(n, 1))))
+        a, b = (self.sets.select(F.col("g").alias(f"g_{x}"), F.col("payload").alias(f"set_{x}")) for x in "ab")
+        found = []
+        for k in range(rounds):
+            some = self.met if rounds == 1 else self.met.filter(F.pmod(F.xxhash64("g_a", "g_b"), F.lit(rounds)) == k)
+            found.append(written(verified(some.join(a, "g_a").join(b, "g_b"), threshold)))
+            release(spark)
+        return reduce(DataFrame.unionByName, found)
 
 
 def near_pairs(df: DataFrame, rows: int, threshold: float = THRESHOLD, block: int = PAIR_BLOCK, hot: int = HOT_LIST) -> DataFrame:

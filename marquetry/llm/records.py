@@ -79,13 +79,13 @@ def rows_of(table: pa.Table) -> tuple[list[str], list[str]]:
     return ids, [rows[i] for i in ids]
 
 
-def packed(df: DataFrame, rows: int, per_pack: int = PACK_ROWS) -> tuple[DataFrame, int, int]:
+def packed(df: DataFrame, rows: int, per_pack: int = PACK_ROWS, per_task: int = PACKS_PER_TASK) -> tuple[DataFrame, int, int]:
     """(pack, block) of df (id, text; neither null), exchanged once by pack; the number of packs and of partitions.
 
     Rows travel as compressed blocks, one for each pack that a batch has rows of; rows_of reads them."""
     spark = df.sparkSession
     packs = max(1, -(-rows // per_pack))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-packs // PACKS_PER_TASK))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-packs // per_task))
     packs = max(packs, parts)
     blocks = df.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(packs)).cast("int").alias("pack")).mapInArrow(_blocks, "pack int, block binary")
     return blocks.repartition(parts, "pack"), packs, parts

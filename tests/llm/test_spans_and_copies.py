@@ -236,3 +236,19 @@ def test_batches_against_history(spark, tmp_path, monkeypatch, fixed_after):
         found |= {x.id for x in h.check(batch).collect()}
         h.accept(batch)
     assert found == want
+
+
+def test_a_set_of_many_packs_is_stored_and_indexed_once(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(f"i{k}", "a", text) for k in range(40)] + [("n", "a", f"{text} more")]
+    j = near_duplicates.SetJoin(table(spark, rows), 60)
+    index = spark.read.parquet(*{f.rpartition("/kind=")[0] for f in j.sets.inputFiles()})
+    assert index.filter("kind = 1").count() == 2 and j.members.count() == 41
+    assert j.links.count() == 1
+
+
+def test_candidates_are_verified_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "ROUND_SETS", 0.3)
+    rows = near_rows(6)
+    got = [tuple(r) for r in near_duplicates.near_pairs(table(spark, rows), 60).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_near(rows, 0.6)
