@@ -131,10 +131,11 @@ def hits(rows: DataFrame, keys: DataFrame, sets: DataFrame, *of: str) -> DataFra
 @dataclass
 class Batch:
     """An encoded batch: its rows (id, word_key, field_key, g), its different keys and sets, and the numbers of keys, sets and
-    triples in all sets. Met with history: the keys that history holds, and pairs (g, old) of near sets; None where history has none."""
+    triples in all sets. Met with history: the keys that history holds, and pairs (g, old) of near sets; None where history has none.
+    Where keys is None, they are met and appended by whoever made the batch."""
 
     rows: DataFrame
-    keys: DataFrame
+    keys: DataFrame | None
     sets: DataFrame
     n_keys: int
     n_sets: int
@@ -198,7 +199,7 @@ class History:
                 self._last = (batch, Batch.of(batch))
             batch = self._last[1]
         if not batch.met:
-            keys, postings, old = self._read("keys", "key binary"), self._read("postings", _POSTINGS), self._read("sets", _SETS)
+            keys, postings, old = None if batch.keys is None else self._read("keys", "key binary"), self._read("postings", _POSTINGS), self._read("sets", _SETS)
             known = lambda: None if keys is None else written(keys.join(_held(batch.keys, batch.n_keys), "key", "left_semi").distinct())
             batch.pairs, batch.known_keys = together(lambda: None if postings is None else self._near(batch, postings, old), known)
             batch.met = True
@@ -234,7 +235,7 @@ class History:
         if b.known_keys is not None:
             keys = keys.join(b.known_keys, "key", "left_anti")
         together(
-            lambda: self._append(keys.select("key"), "keys", b.n_keys, 4_000_000),
+            lambda: None if keys is None else self._append(keys.select("key"), "keys", b.n_keys, 4_000_000),
             lambda: self._append(self._first(new, self._order is None and not len(self._fixed_order()[0])).select("h", F.col("g").alias("old"), F.col("size").alias("n")), "postings", b.triples, 8_000_000),
         )
         # sets last: if the job dies before, they are taken as new again, and a repeated key or posting does no harm
@@ -300,18 +301,21 @@ def seen_before(uploads: DataFrame, threshold: float = THRESHOLD, path: str | No
     n_keys = {r.month: r.n for r in keys.groupBy("month").agg(F.count("*").alias("n")).collect()}
     sizes = {r.month: (r.n, r.triples) for r in sets.groupBy("month").agg(F.count("*").alias("n"), F.sum("size").alias("triples")).collect()}
     history = History(spark, place, threshold)
-    known, near = [spark.createDataFrame([], "month string, key binary")], [spark.createDataFrame([], "month string, g bigint")]
+    near = [spark.createDataFrame([], "month string, g bigint")]
     for m in sorted(n_keys):
         of = lambda df, m=m: df.filter(F.col("month") == m).drop("month")
-        batch = Batch(of(rows), of(keys), of(sets), n_keys[m], *sizes.get(m, (0, 0)))
+        batch = Batch(of(rows), None, of(sets), n_keys[m], *sizes.get(m, (0, 0)))
         history.accept(batch)  # meets it with the history before
-        if batch.known_keys is not None:
-            known.append(batch.known_keys.select(F.lit(m).alias("month"), "key"))
         if batch.pairs is not None:
             near.append(batch.pairs.select(F.lit(m).alias("month"), "g"))
         release(spark, 1)  # a month leaves the plans of half a dozen jobs behind
-    if path is None:
+    # a key is in history from its first month on, which one pass over the narrow table of keys tells for all months
+    first = written(keys.groupBy("key").agg(F.min("month").alias("since")))
+    known = keys.join(first, "key").filter("month > since").select("month", "key")
+    if path is not None:
+        history._append(first.select("key"), "keys", sum(n_keys.values()), 4_000_000)
+    else:
         p = spark._jvm.org.apache.hadoop.fs.Path(place)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     # what each month was found to have in history is in tables, so the rows are told in one go
-    return hits(rows, reduce(DataFrame.unionByName, known), reduce(DataFrame.unionByName, near), "month").select(F.col("id").alias("file_id"))
+    return hits(rows, known, reduce(DataFrame.unionByName, near), "month").select(F.col("id").alias("file_id"))

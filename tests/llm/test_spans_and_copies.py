@@ -252,3 +252,12 @@ def test_candidates_are_verified_in_rounds(spark, monkeypatch):
     rows = near_rows(6)
     got = [tuple(r) for r in near_duplicates.near_pairs(table(spark, rows), 60).collect()]
     assert len(got) == len(set(got)) and set(got) == brute_near(rows, 0.6)
+
+
+def test_a_month_of_the_replay_appends_no_keys(spark, tmp_path, monkeypatch):
+    appended, append = [], history.History._append
+    monkeypatch.setattr(history.History, "_append", lambda self, df, table, *n: (appended.append(table), append(self, df, table, *n))[1])
+    rows = [("a1", "a", "x y z w", "2024-01-05"), ("b1", "a", "p q r s", "2024-02-05"), ("c1", "a", "X, y; z w", "2024-03-05")]
+    df = spark.createDataFrame(rows, "id string, kind string, text string, at string").selectExpr("id", "kind", "text", "cast(at as timestamp_ntz) as created_at")
+    assert [x.file_id for x in history.seen_before(df, path=str(tmp_path / "h")).collect()] == ["c1"]
+    assert appended.count("keys") == 1 and spark.read.parquet(str(tmp_path / "h" / "keys")).count() == 2
